@@ -397,14 +397,9 @@ def _labelled(words: DataFrame, model: Model) -> DataFrame:
     return weighed.mapInPandas(decide, "word string, n bigint, restored string, pair string")
 
 
-def garbled_cells(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(``id_col``, field, cell, restored, pairs) of every cell of which some part was decoded wrongly.
-
-    ``restored`` has the original where it can be recovered (lost characters stay U+FFFD), ``pairs`` how it was garbled.
-    Null, empty and plain ASCII cells are never garbled; a repeated row counts once; null ids give no row.
-    """
-    long = rows.filter(F.col(id_col).isNotNull()).select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields])).alias("s")).select(id_col, "s.*").filter(F.col("cell").rlike(r"[^\x00-\x7F]")).distinct()
-    cells = cut(long.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows")))
+def garbled_texts(cells: DataFrame) -> DataFrame:
+    """(cell, n_rows, restored, pairs) of the garbled among distinct texts (cell, n_rows)."""
+    cells = cut(cells.filter(F.col("cell").rlike(r"[^\x00-\x7F]")))
     # words and the single characters between them
     pieces = F.split("cell", r"(?<=[ _])|(?=[ _])", -1)
     parts = cells.select("cell", "n_rows", F.posexplode(pieces).alias("pos", "word"))
@@ -414,5 +409,15 @@ def garbled_cells(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     hit = join_counted(foreign.select("cell", "pos", "word"), bad.select("word", "restored", "pair", "n_rows"), ["word"])
     mended = hit.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("pos", "restored"))).alias("by_pos"), F.array_join(F.sort_array(F.collect_set("pair")), ",").alias("pairs"))
     texts = F.array_join(F.transform(pieces, lambda w, i: F.coalesce(F.try_element_at("by_pos", i), w)), "")
-    done = cells.join(mended, "cell").select("cell", "n_rows", texts.alias("restored"), "pairs")
-    return join_counted(long, cut(done), ["cell"]).select(id_col, "field", "cell", "restored", "pairs")
+    return cells.join(mended, "cell").select("cell", "n_rows", texts.alias("restored"), "pairs")
+
+
+def garbled_cells(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(``id_col``, field, cell, restored, pairs) of every cell of which some part was decoded wrongly.
+
+    ``restored`` has the original where it can be recovered (lost characters stay U+FFFD), ``pairs`` how it was garbled.
+    Null, empty and plain ASCII cells are never garbled; a repeated row counts once; null ids give no row.
+    """
+    long = rows.filter(F.col(id_col).isNotNull()).select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields])).alias("s")).select(id_col, "s.*").filter(F.col("cell").rlike(r"[^\x00-\x7F]")).distinct()
+    done = cut(garbled_texts(long.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))))
+    return join_counted(long, done, ["cell"]).select(id_col, "field", "cell", "restored", "pairs")

@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, mixing, mojibake, styles, survivorship
+from . import bpe, matching, mixing, mojibake, names, styles, survivorship, truncation
 
 P2_FIELDS = ["title", "artist", "album"]
 
 
+P3_PEOPLE, P3_LABELS = ["artist", "remixer", "album_artist"], ["label"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched(table(spark, d, "tracks"), table(spark, d, "release_candidates")).select("track_id", "release_id")
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matched(table(spark, d, "tracks"), table(spark, d, "release_candidates"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_cells(table(spark, d, "tracks"), "id", P2_FIELDS).select(F.col("id").alias("track_id"), "field").distinct()
 
@@ -19,6 +30,14 @@ def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_cells(table(spark, d, "tracks"), "id", P2_FIELDS).select(F.col("id").alias("track_id"), "field", "cell", "restored", "pairs").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivorship.survivors(table(spark, d, "copies"), table(spark, d, "tracks")).select("group_key", "track_id")
 
@@ -56,7 +75,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.plan_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repairs, p4_found, p4_survivors, p6_found, p6_unmatched, p7_ids, p7_sizes, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(table(spark, d, "documents")).filter("truncated").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(truncation.judged(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_repairs, p3_found, p3_entities, p4_found, p4_survivors, p6_found, p6_unmatched, p7_ids, p7_sizes, p8_mix, p8_shares, p9_found, p9_rates)}
 
 ORACLE = {
     "p4_found": """
