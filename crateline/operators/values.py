@@ -16,7 +16,7 @@ Only distinct cells are analysed; the rows join their cell's result through :fun
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,10 @@ from ..skew import join_counted, union_all
 #: Private-use characters. One that already occurs in a cell is escaped, so a placeholder can't be mistaken for text.
 HOLD, ESC, MARK = "", "", ""
 QUOTED = r'(?:(?<=^)|(?<=[;,/|\\\n\t&+·\-])|(?<=\s))"([^"]*)"(?=\s*(?:$|[;,/|\\\n\t&+·]|-\s))'
+#: A comma with a single word behind it, as in every inverted name.
+LAST_WORD = r",\s*[^\s;,/|\\&+]+\s*(?:$|[;,/|\\\n&+·]|-\s|and\s|feat|ft|vs|with|x\s)"
+#: So many learnt acts go into the pattern of a field that isn't made of names; more are looked up by a join.
+ACTS_IN_PATTERN = 100
 #: An act or inverted name has at most so many parts; longer spans are not looked up, they are split as lists.
 MAX_PARTS = 4
 
@@ -146,12 +150,11 @@ def _acts(parsed: DataFrame, names: DataFrame, rule: FieldRule) -> DataFrame:
 
 def _kept(parsed: DataFrame, acts: DataFrame | None, prefixes: DataFrame | None, names: DataFrame) -> DataFrame:
     """The spans of each cell that stay whole: acts, and inverted names."""
-    spans = _spans(parsed)
     kinds = []
     if acts is not None:
-        kinds.append(spans.withColumn("text", F.lower("text")).join(acts, "text", "left_semi").select("field", "cell", "start", "parts"))
+        kinds.append(_spans(parsed).withColumn("text", F.lower("text")).join(acts, "text", "left_semi").select("field", "cell", "start", "parts"))
     if prefixes is not None:
-        turned = spans.filter((F.col("parts") == 2) & F.col("sep").rlike(r"^\s*,\s*$")).withColumn("token", trimmed(F.col("next"))).filter(~F.col("token").rlike(r"\s") & (trimmed(F.col("first")) != ""))
+        turned = _spans(parsed.filter(F.col("cell").rlike(LAST_WORD))).filter((F.col("parts") == 2) & F.col("sep").rlike(r"^\s*,\s*$")).withColumn("token", trimmed(F.col("next"))).filter(~F.col("token").rlike(r"\s") & (trimmed(F.col("first")) != ""))
         initial = turned.filter(F.col("token").rlike(r"^\p{Lu}\.?$"))
         given = turned.filter(~F.col("token").rlike(r"^\p{Lu}\.?$")).withColumn("name", F.lower("token")).join(prefixes, "name", "left_semi").join(names.select("name"), "name", "left_anti")
         kinds += [x.select("field", "cell", "start", "parts") for x in (initial, given)]
@@ -207,6 +210,11 @@ def cell_values(rows: DataFrame, rules: dict[str, FieldRule], name_fields: list[
         if rule.act_rows:
             own = names if rule.inverted else _simple(cells.filter(F.col("field") == f), rule).select("name").distinct()
             acts = _acts(parsed, own, rule)
+            if not rule.inverted:
+                found = acts.orderBy("text").limit(ACTS_IN_PATTERN + 1).collect()
+                if len(found) <= ACTS_IN_PATTERN:
+                    parsed = _masked(cells.filter(F.col("field") == f), replace(rule, entries=rule.entries + tuple(r.text for r in found)))
+                    acts = None
         if acts is not None or rule.inverted:
             kept = _kept(parsed, acts, prefixes if rule.inverted else None, names if rule.inverted else own)
         out.append(_values(parsed, kept, rule))
