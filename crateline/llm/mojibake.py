@@ -20,7 +20,6 @@ from __future__ import annotations
 import pickle
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -131,14 +130,43 @@ def encoded(word: str) -> list[int]:
     return [0, *map(class_of, word), 0]
 
 
-@dataclass
 class Model:
-    """Log emission tables (state, class before, class); state 0 is clean, the last one is lost text."""
+    """Log emission tables (state, class before, class); state 0 is clean, the last one is lost text.
 
-    tables: np.ndarray
-    priors: np.ndarray
-    version: int = 0
-    pairs: list = field(default_factory=lambda: list(PAIRS))
+    Only the bigrams that occur are stored and sent; the tables are made from them where they are used.
+    """
+
+    def __init__(self, shape: tuple[int, int, int], places: np.ndarray, weights: np.ndarray, share: float):
+        self.shape = shape
+        self.places = places.astype(np.int32)
+        self.weights = weights.astype(np.float32)
+        self.share = share
+        self._tables: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"} | {"_tables": None}
+
+    @property
+    def priors(self) -> np.ndarray:
+        out = np.full(self.shape[0], np.log(self.share), dtype=np.float32)
+        out[0] = 0.0
+        return out
+
+    @property
+    def tables(self) -> np.ndarray:
+        if self._tables is None:
+            counts = np.zeros(self.shape, dtype=np.float32).reshape(-1)
+            counts[self.places] = self.weights
+            counts = counts.reshape(self.shape)
+            tables = np.empty(self.shape, dtype=np.float32)
+            for k, n in enumerate(counts):
+                uni = n.sum(axis=0) + 0.05
+                uni /= uni.sum()
+                tables[k] = np.log((n + 2.0 * uni) / (n.sum(axis=1, keepdims=True) + 2.0))
+            # ASCII follows ASCII in the same way whatever the encoding
+            tables[1:, :5, :5] = tables[0, :5, :5]
+            self._tables = tables
+        return self._tables
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,37 +193,41 @@ def fit(words: DataFrame, clean: DataFrame | None = None, share: float = 0.004)
     state is taken from all words, less what garbling the corpus explains at ``share`` of the words for each pair."""
     c = n_classes()
     source = words if clean is None else clean
-    rows = source.mapInPandas(_counts, "state int, bigram int, weight double").groupBy("state", "bigram").agg(F.sum("weight").alias("weight")).collect()
-    counts = np.zeros((len(PAIRS) + 2, c, c), dtype=np.float64)
-    for state, bigram, weight in rows:
-        counts[state, bigram // c, bigram % c] = weight
-    counts[-1, :, classes()[LOST]] = 1.0
-    counts[-1, classes()[LOST], :] = 0.05
-    everything = counts[0].sum() or 1.0
-    explained = np.zeros((c, c))
-    for k in range(1, len(PAIRS) + 1):
-        total = counts[k].sum()
-        if total:
-            explained += counts[k] * (3 * share * everything / max(total, everything))
-    plain = np.zeros(c, dtype=bool)
-    plain[:5] = True
-    garbled_only = ~(plain[:, None] & plain[None, :])
+    rows = source.mapInPandas(_counts, "state int, bigram int, weight double").groupBy("state", "bigram").agg(F.sum("weight").alias("weight")).toPandas()
+    # only the clean state and what garbling explains are needed as whole tables; the others stay sparse
+    state = rows["state"].to_numpy(dtype=np.int32)
+    bigram = rows["bigram"].to_numpy(dtype=np.int64)
+    weight = rows["weight"].to_numpy(dtype=np.float32)
+    plain_words = np.zeros(c * c, dtype=np.float32)
+    plain_words[bigram[state == 0]] = weight[state == 0]
+    everything = float(plain_words.sum()) or 1.0
     if clean is None:
-        counts[0] = np.where(garbled_only, np.maximum(counts[0] - explained, 0.0), counts[0])
+        explained = np.zeros(c * c, dtype=np.float32)
+        for k in range(1, len(PAIRS) + 1):
+            total = float(weight[state == k].sum())
+            if total:
+                explained[bigram[state == k]] += weight[state == k] * (3 * share * everything / max(total, everything))
+        before, after = np.divmod(np.arange(c * c), c)
+        foreign = (before >= 5) | (after >= 5)
+        plain_words = np.where(foreign, np.maximum(plain_words - explained, 0.0), plain_words)
+    square = plain_words.reshape(c, c)
     for c1 in [LOST, *map(chr, range(0x80, 0xA0))]:  # no clean writer produces these
-        counts[0, :, classes()[c1]] = counts[0, classes()[c1], :] = 0
-    tables = np.empty(counts.shape, dtype=np.float32)
-    for k in range(len(counts)):
-        n = counts[k]
-        uni = n.sum(axis=0) + 0.05
-        uni /= uni.sum()
-        tables[k] = np.log((n + 2.0 * uni) / (n.sum(axis=1, keepdims=True) + 2.0))
-    # ASCII follows ASCII in the same way whatever the encoding
-    for k in range(1, len(counts)):
-        tables[k, :5, :5] = tables[0, :5, :5]
-    priors = np.full(len(counts), np.log(share), dtype=np.float32)
-    priors[0] = 0.0
-    return Model(tables, priors)
+        square[:, classes()[c1]] = square[classes()[c1], :] = 0
+    lost = classes()[LOST]
+    lost_square = np.zeros((c, c), dtype=np.float32)
+    lost_square[:, lost] = 1.0
+    lost_square[lost, :] = 0.05
+    states, places, weights = [], [], []
+    for k, dense in ((0, square.reshape(-1)), (len(PAIRS) + 1, lost_square.reshape(-1))):
+        at = np.flatnonzero(dense)
+        states.append(np.full(len(at), k, dtype=np.int64))
+        places.append(at)
+        weights.append(dense[at])
+    garbled = state > 0
+    states.append(state[garbled].astype(np.int64))
+    places.append(bigram[garbled])
+    weights.append(weight[garbled])
+    return Model((len(PAIRS) + 2, c, c), np.concatenate(states) * (c * c) + np.concatenate(places), np.concatenate(weights), share)
 
 
 _models: dict[int, Model] = {}
