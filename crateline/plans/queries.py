@@ -154,15 +154,15 @@ def signatures(s, d):
     return table(s, d, "embeddings").select("vec_id", duplicates.bits_of_signs(F.col("embedding")).alias("bits"))
 
 
-@query(f"WITH {NEAR} SELECT * FROM e WHERE errors <= 11")
+@query(f"WITH {NEAR} SELECT * FROM e WHERE errors <= 16")
 def bit_error_pairs(s, d):
-    return duplicates.near_signatures(signatures(s, d), "vec_id")
+    return duplicates.near_signatures(signatures(s, d), "vec_id", 16)
 
 
-@query(f"""WITH RECURSIVE {NEAR}, l AS (SELECT a, b FROM e WHERE errors <= 11 UNION SELECT b, a FROM e WHERE errors <= 11),
+@query(f"""WITH RECURSIVE {NEAR}, l AS (SELECT a, b FROM e WHERE errors <= 16 UNION SELECT b, a FROM e WHERE errors <= 16),
     r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id""")
 def similar_components(s, d):
-    return duplicates.components(duplicates.near_signatures(signatures(s, d), "vec_id").select("a", "b"))
+    return duplicates.components(duplicates.near_signatures(signatures(s, d), "vec_id", 16).select("a", "b"))
 
 
 WORD = "CASE regexp_replace(lower(coalesce(quality, '')), '[^a-z]', '', 'g') WHEN 'suspect' THEN 0 WHEN 'likelylossy' THEN 0 ELSE 1 END"
