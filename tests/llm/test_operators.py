@@ -151,3 +151,21 @@ def test_truncation(spark):
     assert truncation.rates(j).first().truncated_docs == 3 and truncation.judged(d.limit(0)).count() == 0
     p = spark.createDataFrame([(1, "abc"), (2, "abcdef"), (3, "abd"), (4, "abcd")], "text_id bigint, text string")
     assert {(r.text_id, r.next_char) for r in truncation.prefixes_of_longer(p).collect()} == {(1, "d"), (4, "e")}
+
+
+def test_matching_restores_all_pairs(spark):
+    rng = random.Random(4)
+    parts = ["jür", "señ", "grö", "fên", "té", "kü", "nô", "lav", "mor", "ßa", "ro", "dal"]
+    filler = ["".join(rng.choice(parts) for _ in range(3)).capitalize() for _ in range(300)]
+    titles = ["Туман окно", "Зима река", "Ночь мост", "砂時計", "Señal Größe"]
+    pairs = [("cp1251", "cp1252", 1), ("koi8_r", "cp1252", 1), ("cp1251", "cp1252", 1), ("euc_jp", "cp1252", 1), ("cp1252", "cp1251", 1)]
+    tr = [(1000 + i, "Noor Filler", w, 2001) for i, w in enumerate(filler + titles * 6)]
+    tr += [(i, f"Performer{chr(97 + i)}kru", mojibake.garble(t, p), 2000) for i, (t, p) in enumerate(zip(titles, pairs))]
+    rc = [(str(i), f"Performer{chr(97 + i)}kru - {t}", "2000") for i, t in enumerate(titles)]
+    for i in range(40):
+        tr.append((100 + i, f"Artist{i}x", f"Song{i}word Other{i}", 2000))
+        rc += [(str(100 + i), f"Artist{i}x - Song{i}word Other{i}", "2000"), (str(200 + i), f"Someone{i}zzz - Song{i}word Other{i}", "2000")]
+    t = spark.createDataFrame(tr, "id bigint, artist string, title string, year int")
+    c = spark.createDataFrame(rc, "release_id string, title string, year string")
+    got = {(r.track_id, r.release_id) for r in matching.matched(t, c).collect() if r.track_id < 100}
+    assert got == {(i, str(i)) for i in range(len(titles))}
