@@ -16,6 +16,7 @@ bytes of UTF-8) needs stronger evidence to count as complete. Digits are alike t
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,9 +28,11 @@ from ..session import cut, spread
 
 #: Words or codes with inner marks; a character of a script without spaces; any other sign.
 TOKEN = re.compile(r"https?://\S+|[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’\-./:_][^\W_぀-ヿ㐀-鿿]+)*|\n|\S")
-END_SIGNS = set(".!?。！？…)]}»”\"'’")
+END_SIGNS = set(".!?。！？…)]}»›”\"'’」』】）〉》］｝")
 BREAK_SIGNS = set(".!?。！？…\n")
 OPEN_SIGNS = set(",;:(/&„“«-–—=<[{#@、，：「『（【・")
+#: What is left of a character whose bytes were cut.
+BROKEN = "\ufffd"
 #: Occurrences (of ending, going on or being longer) that a context needs to decide.
 LEAST = 3
 #: Share of endings below which a text counts as cut: usually, and at the field's limit.
@@ -49,6 +52,14 @@ def tokens(text: str) -> tuple[list[str], list[str]]:
     return plain, [NAME if x[0].isupper() and x[-1].isalpha() else y for x, y in zip(raw, plain, strict=True)]
 
 
+def without_pictures(text: str) -> str:
+    """The text without the emoji it ends in, which may follow the end of a sentence."""
+    n = len(text)
+    while n and (text[n - 1].isspace() or unicodedata.category(text[n - 1]) in ("So", "Sk", "Mn", "Cf") and text[n - 1] != BROKEN):
+        n -= 1
+    return text[:n]
+
+
 def is_word(t: str) -> bool:
     return t[0].isalnum() or t.startswith("http")
 
@@ -130,12 +141,16 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((i, "complete", 0, "", ""))
                 continue
             t = toks[-1]
-            if s[-1] in OPEN_SIGNS:
+            if s[-1] == BROKEN:
+                rows.append((i, "broken", 0, "", ""))
+            elif s[-1] in OPEN_SIGNS or (s[-1] in "\"'" and s[-2:-1].isspace()):  # a quote after a space opens
                 rows.append((i, "open", 0, "", ""))
             elif is_word(t):
                 rows += [(i, "", n, c, w) for n, c, w in _contexts(toks, general, len(toks) - 1)]
-            else:
+            elif without_pictures(s)[-1:] in END_SIGNS:
                 rows.append((i, "complete", 0, "", ""))
+            else:  # no known context: a longer copy or the field's limit decides
+                rows.append((i, "", 0, "", t))
         yield pd.DataFrame(rows, columns=["text_id", "verdict", "rank", "context", "word"])
 
 
@@ -168,8 +183,8 @@ def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, source, truncated, reason, score) of every document with a text.
 
     Null, empty and blank texts are complete. Equal texts of one source get one verdict. Texts that end in a sign of the
-    end or trail off with an ellipsis are complete; a text without any known context is complete unless it stands at its
-    field's limit. Null doc_ids have no row; a repeated doc_id counts once for each text.
+    end or trail off with an ellipsis are complete, those that end in U+FFFD are cut inside a character; a text without any
+    known context (as one whose last sign says nothing) is complete unless it has a longer copy or stands at its field's limit. Null doc_ids have no row; a repeated doc_id counts once for each text.
     """
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "source", "text")
     own = spread(own, "doc_id")
@@ -204,7 +219,7 @@ def judged(docs: DataFrame) -> DataFrame:
     low = F.col("score") < F.when(F.col("at_limit"), AT_LIMIT).otherwise(USUAL)
     reason = (
         F.when(F.col("verdict") == "complete", None)
-        .when(F.col("verdict") == "open", "open")
+        .when(F.col("verdict").isin("open", "broken"), F.col("verdict"))
         .when(in_word, "prefix")
         .when(low, "context")
         .when(F.col("score").isNull() & F.col("at_limit"), "limit")

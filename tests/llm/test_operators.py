@@ -169,3 +169,12 @@ def test_matching_restores_all_pairs(spark):
     c = spark.createDataFrame(rc, "release_id string, title string, year string")
     got = {(r.track_id, r.release_id) for r in matching.matched(t, c).collect() if r.track_id < 100}
     assert got == {(i, str(i)) for i in range(len(titles))}
+
+
+def test_truncation_by_last_sign(spark):
+    full = [f"The {a} was pressed in {b} last year." for a in ("record", "tape", "single") for b in ("Hask", "Vellin", "Lurein")]
+    cut_ = ["The tape was pressed in H�", "Cellarの新作は明るい一枚だ。低音が柔らかく響き、夜によく�", "It cost the shop about £", 'The label only said "', "The sleeve is graded VG+"]
+    whole = ["It cost the shop about £20 in Hask.", "The sleeve is graded VG+plus by the shop.", 'The label only said "no".', "A fine tape. 🎶", "A fine sleeve, graded NM+", "(fine)", "「夜」"]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(full + cut_ + whole)], "doc_id bigint, text string, source string")
+    n = len(full)
+    assert {r.doc_id for r in truncation.judged(d).filter("truncated").collect()} == set(range(n, n + len(cut_)))
