@@ -190,6 +190,20 @@ def linkage_exact_then_fallback(s, d):
     return linkage.exact_then_fallback(records, docs.select(F.col("release_id").alias("id"), text.norm_loose(F.col("title")).alias("text")).distinct())
 
 
+LINKED = f"""WITH r AS (SELECT DISTINCT release_id, {LOOSE.format(c="title")} AS k FROM release_candidates WHERE trim(title) <> ''), c AS (SELECT DISTINCT release_id, {LOOSE.format(c="label")} AS k FROM release_json j JOIN (SELECT DISTINCT release_id, title AS label FROM release_candidates) USING (release_id)),
+    x AS (SELECT DISTINCT r.release_id AS record_id, c.release_id AS row_id FROM r JOIN c ON TRY_CAST(trim(r.release_id) AS BIGINT) = TRY_CAST(trim(c.release_id) AS BIGINT))
+    SELECT record_id, row_id, 'id' AS how FROM x UNION ALL SELECT DISTINCT r.release_id, c.release_id, 'text' FROM r JOIN c ON r.k = c.k WHERE r.k <> '' AND r.release_id NOT IN (SELECT record_id FROM x)"""
+
+
+@query(LINKED)
+def linkage_all_documents(s, d):
+    """Candidates linked to every release document: by id, those without a document of their own by text."""
+    cand = table(s, d, "release_candidates").select("release_id", "title").distinct()
+    records = cand.filter(F.trim("title") != "").select(F.col("release_id").alias("id"), text.norm_loose(F.col("title")).alias("text")).distinct()
+    docs = table(s, d, "release_json").select("release_id").distinct().join(cand, "release_id")
+    return linkage.exact_then_fallback(records, docs.select(F.col("release_id").alias("id"), text.norm_loose(F.col("title")).alias("text")).distinct())
+
+
 @query(f"""WITH {T}, lost AS (SELECT * FROM t WHERE source_path LIKE '/media/crate0%'), f AS (SELECT fingerprint, count(*) AS n, min(id) AS found_id FROM t WHERE source_path NOT LIKE '/media/crate0%' AND fingerprint IS NOT NULL GROUP BY 1)
     SELECT lost.id AS lost_id, found_id FROM lost JOIN f USING (fingerprint) WHERE n = 1""")
 def moved_unique_match(s, d):
@@ -263,6 +277,22 @@ def upsert_scan_merge(s, d):
     return state.scan_upsert(stored, new, ["title"], ["src_size"])
 
 
+STORED, SCANNED = (f"SELECT id, user_edited, title, src_size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(src_mtime, -4611686018427387904) {way}, coalesce(discogs_meta_fetched_at, -4611686018427387904) {way}, coalesce(src_size, -4611686018427387904) {way}, coalesce(title, '') {way}, coalesce(user_edited, false) {way}) AS rn FROM tracks WHERE id IS NOT NULL) WHERE rn = 1" for way in ("ASC", "DESC"))
+
+
+@query(f"""WITH s AS ({STORED}), n AS ({SCANNED})
+    SELECT n.id, CASE WHEN coalesce(s.user_edited, false) THEN s.title ELSE n.title END AS title, n.src_size, coalesce(s.user_edited, false) AS user_edited,
+    CASE WHEN n.src_size IS NOT DISTINCT FROM s.src_size THEN 'unchanged' ELSE 'updated' END AS status FROM s JOIN n ON s.id = n.id""")
+def upsert_oldest_newest(s, d):
+    """The newest row of every track merged into its oldest one: two real scans of the whole library."""
+    least = F.lit(-4611686018427387904)
+    order = F.struct(*[F.coalesce(c, least) for c in ("src_mtime", "discogs_meta_fetched_at", "src_size")], F.coalesce("title", F.lit("")), F.coalesce("user_edited", F.lit(False)))
+    t = tracks(s, d).filter("id is not null").withColumn("scan", order).withColumn("row", F.struct("user_edited", "title", "src_size"))
+    both = t.groupBy("id").agg(F.min_by("row", "scan").alias("stored"), F.max_by("row", "scan").alias("new"))
+    stored = both.select("id", F.coalesce("stored.user_edited", F.lit(False)).alias("user_edited"), "stored.title", "stored.src_size")
+    return state.scan_upsert(stored, both.select("id", "new.title", "new.src_size"), ["title"], ["src_size"])
+
+
 @query("""SELECT track_id, CASE WHEN grid_edited OR analyzer_version >= 20 THEN bpm ELSE bpm * 2 END AS bpm, CASE WHEN grid_edited OR analyzer_version >= 20 THEN beat_offset_ms ELSE beat_offset_ms + 7 END AS beat_offset_ms, first_beat_number,
     peak, CASE WHEN grid_edited AND analyzer_version < 20 THEN bpm * 2 END AS auto_bpm, CASE WHEN grid_edited AND analyzer_version < 20 THEN beat_offset_ms + 7 END AS auto_offset_ms, coalesce(grid_edited, false) AS grid_edited FROM analysis WHERE track_id IS NOT NULL""")
 def manual_override_merge(s, d):

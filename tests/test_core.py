@@ -115,3 +115,17 @@ def test_core_imports_without_extras():
     for m in pkgutil.walk_packages(crateline.__path__, "crateline."):
         if not m.name.startswith("crateline.llm"):
             importlib.import_module(m.name)
+
+
+def test_linkage_reaches_every_document(spark, data):
+    docs = {r[0] for r in spark.read.parquet(f"{data}/release_json.parquet").select("release_id").distinct().collect()}
+    named = {r[0] for r in spark.read.parquet(f"{data}/release_candidates.parquet").filter("trim(title) <> ''").select("release_id").distinct().collect()}
+    got = registry.QUERIES["linkage_all_documents"](spark, data).collect()
+    assert {r.row_id for r in got if r.how == "id"} == docs & named and any(int(x) % 2 for x in docs & named)
+    assert all(r.record_id not in docs for r in got if r.how == "text")
+
+
+def test_scan_merge_of_whole_library(spark, data):
+    ids = {r[0] for r in spark.read.parquet(f"{data}/tracks.parquet").filter("id is not null").select("id").distinct().collect()}
+    got = registry.QUERIES["upsert_oldest_newest"](spark, data).collect()
+    assert len(got) == len(ids) and {r.id for r in got} == ids and {r.status for r in got} <= {"unchanged", "updated"}
