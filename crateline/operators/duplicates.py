@@ -27,9 +27,12 @@ def same_track_groups(tracks: DataFrame) -> DataFrame:
     return g.filter((F.col("n") >= 2) & ~one_file).select(F.lit("sametrack").alias("kind"), _keyed("sametrack", F.col("k")).alias("group_key"), "n", "first_id")
 
 
-def report(tracks: DataFrame, ignored: DataFrame) -> DataFrame:
-    """Both kinds of groups without the dismissed ones (``ignored``: group_key)."""
-    return identical_groups(tracks).unionByName(same_track_groups(tracks)).join(ignored.select("group_key").distinct(), "group_key", "left_anti").select("kind", "group_key", "n", "first_id")
+def report(tracks: DataFrame, ignored: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """All kinds of groups, acoustic ones where there are ``signatures`` (id, bits), without the dismissed ones (``ignored``: group_key)."""
+    groups = identical_groups(tracks).unionByName(same_track_groups(tracks))
+    if signatures is not None:
+        groups = groups.unionByName(acoustic_groups(tracks, signatures))
+    return groups.join(ignored.select("group_key").distinct(), "group_key", "left_anti").select("kind", "group_key", "n", "first_id")
 
 
 def band_partners(rows: DataFrame, id_col: str, value: str, keys: list[str], width: int) -> DataFrame:
@@ -43,6 +46,45 @@ def band_partners(rows: DataFrame, id_col: str, value: str, keys: list[str], wid
     return rows.withColumn("v", F.coalesce(F.col(value), F.lit(0)).cast("bigint")).select(F.col(id_col), (F.count(F.lit(1)).over(w) - 1).alias("partners")).filter("partners > 0")
 
 
+def band_partners_all(rows: DataFrame, id_col: str, value: str, width: int) -> DataFrame:
+    """The same over all rows, without keys: values are counted and cut into buckets of ``width``, of which a value sees
+    its own and both neighbours, so a window holds at most three buckets' distinct values however many rows there are."""
+    from pyspark.sql.window import Window
+
+    own = rows.select(F.col(id_col), F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias("v"))
+    counts = own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("home", F.floor(F.col("v") / width))
+    near = counts.withColumn("bucket", F.explode(F.sequence(F.col("home") - 1, F.col("home") + 1)))
+    w = Window.partitionBy("bucket").orderBy("v").rangeBetween(-width, width)
+    within = near.withColumn("within", F.sum("n").over(w)).filter("bucket = home").select("v", "within")
+    return own.join(within, "v").select(id_col, (F.col("within") - 1).alias("partners")).filter("partners > 0")
+
+
+def acoustic_groups(tracks: DataFrame, signatures: DataFrame, most: int = 11, width: int = 15_000) -> DataFrame:
+    """(kind, group_key, n, first_id): components of tracks (id, duration_ms, fingerprint, artist, title) whose signatures
+    (id, bits) differ in at most ``most`` of 64 bits (0.18) and whose durations lie within ``width``; a null one is 0.
+
+    Groups of one file or of one artist and title are the other kinds'. The rows of two like signatures are sorted by
+    duration and each linked to the one before: what lies between two rows of the band is linked in small steps, so the
+    components are those of all pairs, which are never made.
+    """
+    from pyspark.sql.window import Window
+
+    sig = cut(signatures.filter(F.col("id").isNotNull() & F.col("bits").isNotNull()).select("id", "bits").join(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v")), "id"))
+    reps = sig.groupBy("bits").agg(F.min("id").alias("rep"))
+    near = near_signatures(reps.select(F.col("rep").alias("id"), "bits"), "id", most).select("a", "b")
+    pairs = near.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    rows = sig.join(reps, "bits").select("id", "v", "rep")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("rep"))
+    before = Window.partitionBy("a", "b").orderBy("v", "id")
+    steps = sides.join(rows, "rep").withColumn("other", F.lag("id").over(before)).withColumn("gap", F.col("v") - F.lag("v").over(before))
+    found = components(steps.filter(F.col("gap") <= width).select(F.col("id").alias("a"), F.col("other").alias("b")))
+    artist, title = F.lower(F.trim("artist")), F.lower(F.trim("title"))
+    tagged = tracks.select("id", F.when(F.trim("fingerprint") != "", F.col("fingerprint")).alias("fp"), F.when((artist != "") & (title != ""), F.concat(artist, F.lit("\x1f"), title)).alias("k"))
+    g = found.join(tagged, "id").groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), *[f(c).alias(m + c) for c in ("fp", "k") for m, f in (("n_", F.count), ("low_", F.min), ("high_", F.max))])
+    one = lambda c: (F.col("n_" + c) == F.col("n")) & F.coalesce(F.col("low_" + c) == F.col("high_" + c), F.lit(False))
+    return g.filter((F.col("n") >= 2) & ~one("fp") & ~one("k")).select(F.lit("acoustic").alias("kind"), _keyed("acoustic", F.array_join("ids", ",")).alias("group_key"), "n", "first_id")
+
+
 def bits_of_signs(vec: Column) -> Column:
     """The signs of a vector's first 64 values as one integer."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("bigint"), lambda a, i: F.shiftleft(a, 1).bitwiseOR(F.when(F.try_element_at(vec, i) > 0, 1).otherwise(0).cast("bigint")))

@@ -146,6 +146,12 @@ def band_join_partners(s, d):
     return duplicates.band_partners(t, "id", "duration_ms", ["k"], 15_000)
 
 
+@query(f"""WITH {T}, b AS (SELECT id, coalesce(duration_ms, 0) AS v FROM t)
+    SELECT id, n - 1 AS partners FROM (SELECT id, count(*) OVER (ORDER BY v RANGE BETWEEN 15000 PRECEDING AND 15000 FOLLOWING) AS n FROM b) WHERE n > 1""")
+def duration_band_partners(s, d):
+    return duplicates.band_partners_all(catalog.latest(tracks(s, d), "duration_ms"), "id", "duration_ms", 15_000)
+
+
 SIGNS = "s AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS v FROM embeddings)"
 NEAR = f"{SIGNS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS INTEGER) AS errors FROM s a JOIN s b ON a.vec_id < b.vec_id)"
 
@@ -165,6 +171,18 @@ def similar_components(s, d):
     return duplicates.components(duplicates.near_signatures(signatures(s, d), "vec_id", 16).select("a", "b"))
 
 
+@query(f"""WITH RECURSIVE {T}, {NEAR}, p AS (SELECT a, b FROM e JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE errors <= 11 AND abs(coalesce(x.duration_ms, 0) - coalesce(y.duration_ms, 0)) <= 15000), l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), m AS (SELECT id, min(root) AS component FROM r GROUP BY id),
+    k AS (SELECT component, id, nullif(trim(fingerprint), '') AS fp, CASE WHEN trim(artist) <> '' AND trim(title) <> '' THEN lower(trim(artist)) || chr(31) || lower(trim(title)) END AS song FROM m JOIN t USING (id)),
+    g AS ({IDENTICAL} UNION ALL {SAME} UNION ALL SELECT 'acoustic', 'acoustic' || chr(31) || string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), count(*), min(id) FROM k GROUP BY component
+        HAVING count(*) >= 2 AND NOT (count(fp) = count(*) AND count(DISTINCT fp) = 1) AND NOT (count(song) = count(*) AND count(DISTINCT song) = 1))
+    SELECT * FROM g WHERE group_key NOT IN (SELECT 'identical' || chr(31) || fingerprint FROM tracks WHERE user_edited AND fingerprint IS NOT NULL)""")
+def duplicate_report_acoustic(s, d):
+    """All three kinds; the vectors' signs stand for the signatures of the tracks of their numbers."""
+    ignored = tracks(s, d).filter("user_edited and fingerprint is not null").select(F.concat(F.lit("identical\x1f"), F.col("fingerprint")).alias("group_key"))
+    return duplicates.report(catalog.latest(tracks(s, d), "fingerprint", "artist", "title", "duration_ms"), ignored, signatures(s, d).withColumnRenamed("vec_id", "id"))
+
+
 WORD = "CASE regexp_replace(lower(coalesce(quality, '')), '[^a-z]', '', 'g') WHEN 'suspect' THEN 0 WHEN 'likelylossy' THEN 0 ELSE 1 END"
 
 

@@ -129,3 +129,32 @@ def test_scan_merge_of_whole_library(spark, data):
     ids = {r[0] for r in spark.read.parquet(f"{data}/tracks.parquet").filter("id is not null").select("id").distinct().collect()}
     got = registry.QUERIES["upsert_oldest_newest"](spark, data).collect()
     assert len(got) == len(ids) and {r.id for r in got} == ids and {r.status for r in got} <= {"unchanged", "updated"}
+
+
+def test_acoustic_groups(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
+    rows = [(i, int(rng.integers(0, 60_000)), None, f"A{i}", f"T{i}") for i in range(120)]
+    flips = [sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 9), replace=False)) for _ in rows]
+    bits = [base[i % 12] ^ f for i, f in enumerate(flips)]
+    rows += [(200, 1000, "f", "X", "Y"), (201, 1000, "f", "Z", "W"), (300, 0, None, "Q", "q"), (301, 9, None, "q ", "Q")]
+    bits += [base[0] ^ (1 << 62), base[0] ^ (1 << 62), 2**62, 2**62]
+    t = spark.createDataFrame(rows, "id bigint, duration_ms bigint, fingerprint string, artist string, title string")
+    s = spark.createDataFrame([(r[0], b) for r, b in zip(rows, bits)], "id bigint, bits bigint")
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if abs(rows[i][1] - rows[j][1]) <= 15_000 and bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1") <= 11:
+                root[find(rows[i][0])] = find(rows[j][0])
+    groups = {}
+    for r in rows:
+        groups.setdefault(find(r[0]), []).append(r[0])
+    want = {"acoustic\x1f" + ",".join(map(str, sorted(g))) for g in groups.values() if len(g) > 1 and sorted(g) not in ([200, 201], [300, 301])}
+    got = {r.group_key for r in duplicates.report(t, spark.createDataFrame([], "group_key string"), s).filter("kind = 'acoustic'").collect()}
+    assert got == want and len(want) > 5
+    partners = {r.id: r.partners for r in duplicates.band_partners_all(t, "id", "duration_ms", 15_000).collect()}
+    assert partners == {a[0]: n for a in rows if (n := sum(abs(a[1] - b[1]) <= 15_000 for b in rows) - 1)}
