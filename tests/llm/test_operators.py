@@ -178,3 +178,15 @@ def test_truncation_by_last_sign(spark):
     d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(full + cut_ + whole)], "doc_id bigint, text string, source string")
     n = len(full)
     assert {r.doc_id for r in truncation.judged(d).filter("truncated").collect()} == set(range(n, n + len(cut_)))
+
+
+def test_names_of_frequent_words(spark):
+    rng = random.Random(7)
+    made = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(5))
+    cells = [f"{made().capitalize()} Smith" for _ in range(names.RARE + 20)] + [f"R. {made().capitalize()}" for _ in range(3)]
+    same = ["Robert Smith", "Bob Smith"]
+    d = spark.createDataFrame([(c,) for c in cells + same + ["R. Smith", "Valentina Smith"]], "artist string")
+    nodes = names.classes(d.selectExpr("'people' as kind", "artist as name", "1L as n")).groupBy("class", "kind").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    got = {frozenset((r.a.split("\t")[1], r.b.split("\t")[1])) for r in names.class_links(nodes).collect()}
+    want = {frozenset(x) for x in [("robert smith", "bob smith"), ("robert smith", "r smith"), ("bob smith", "r smith")]}
+    assert want <= got and not any("valentina smith" in x for x in got)
