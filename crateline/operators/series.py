@@ -20,6 +20,20 @@ def beats_in_window(grids: DataFrame, until_ms: int) -> DataFrame:
     return long.select("track_id", "beat", F.round(F.col("beat_offset_ms") + F.col("beat") * F.col("step"), 3).alias("at_ms"), (F.pmod(F.col("first") - 1 + F.col("beat"), F.lit(4)) + 1).cast("int").alias("in_bar"))
 
 
+def beats_of_track(grids: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(track_id, beat, at_ms, in_bar) of every beat up to the track's end, inclusive; ``lengths``: (track_id, duration_ms).
+
+    The last beat is the last one whose position, rounded to milliseconds, isn't beyond the end. A track without a tempo,
+    anchor or length has none.
+    """
+    step = F.lit(60_000.0) / F.col("bpm")
+    own = grids.filter((F.col("bpm") > 0) & F.col("beat_offset_ms").isNotNull()).join(lengths.filter("duration_ms > 0"), "track_id")
+    last = F.ceil((F.col("duration_ms") + F.lit(0.5) - F.col("beat_offset_ms")) / step).cast("int") - 1
+    own = own.withColumn("step", step).withColumn("last", last).filter("last >= 0")
+    long = own.select("track_id", "beat_offset_ms", "step", F.coalesce("first_beat_number", F.lit(1)).alias("first"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("beat"))
+    return long.select("track_id", "beat", F.round(F.col("beat_offset_ms") + F.col("beat") * F.col("step"), 3).alias("at_ms"), (F.pmod(F.col("first") - 1 + F.col("beat"), F.lit(4)) + 1).cast("int").alias("in_bar"))
+
+
 def shifted(bpm: Column, offset_ms: Column, by_ms: int) -> Column:
     """The anchor moved; before 0 it rolls on by whole bars of four."""
     bar = 4 * 60_000.0 / bpm

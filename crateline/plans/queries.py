@@ -368,6 +368,14 @@ def beat_grid_expand(s, d):
     return series.beats_in_window(table(s, d, "analysis").filter("track_id is not null"), 8000)
 
 
+@query(f"""WITH {T} SELECT track_id, CAST(b AS INTEGER) AS beat, round(beat_offset_ms + b * (60000.0 / bpm), 3) AS at_ms, CAST(((coalesce(first_beat_number, 1) - 1 + b) % 4) + 1 AS INTEGER) AS in_bar
+    FROM (SELECT a.*, unnest(generate_series(0, CAST(ceil((duration_ms + 0.5::DOUBLE - beat_offset_ms) / (60000.0 / bpm)) AS BIGINT) - 1)) AS b FROM analysis a JOIN t ON t.id = track_id WHERE duration_ms > 0 AND bpm > 0 AND beat_offset_ms IS NOT NULL AND beat_offset_ms <= duration_ms)""")
+def beat_grid_full(s, d):
+    """The beats of every track up to its duration."""
+    lengths = catalog.latest(tracks(s, d), "duration_ms").select(F.col("id").alias("track_id"), "duration_ms")
+    return series.beats_of_track(table(s, d, "analysis"), lengths)
+
+
 @query("""SELECT track_id, round(CASE WHEN beat_offset_ms - 300 < 0 THEN beat_offset_ms - 300 + ceil((300 - beat_offset_ms) / (240000.0 / bpm)) * (240000.0 / bpm) ELSE CAST(beat_offset_ms - 300 AS DOUBLE) END, 3) AS offset_ms, CASE WHEN bpm * 2 BETWEEN 40 AND 300 THEN bpm * 2 ELSE bpm END AS doubled,
     CASE WHEN bpm * 0.5 BETWEEN 40 AND 300 THEN bpm * 0.5 ELSE bpm END AS halved FROM analysis WHERE track_id IS NOT NULL AND bpm > 0 AND beat_offset_ms IS NOT NULL""")
 def grid_edits(s, d):

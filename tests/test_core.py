@@ -158,3 +158,12 @@ def test_acoustic_groups(spark):
     assert got == want and len(want) > 5
     partners = {r.id: r.partners for r in duplicates.band_partners_all(t, "id", "duration_ms", 15_000).collect()}
     assert partners == {a[0]: n for a in rows if (n := sum(abs(a[1] - b[1]) <= 15_000 for b in rows) - 1)}
+
+
+def test_beats_to_the_end(spark):
+    g = spark.createDataFrame([(1, 120.0, 250, 2), (2, None, 0, 1), (3, 120.0, 9000, 1), (4, 120.0, 0, 1), (5, 120.0, 500, None)], "track_id bigint, bpm double, beat_offset_ms bigint, first_beat_number int")
+    n = spark.createDataFrame([(1, 30_250), (2, 5000), (3, 9499), (4, None), (5, 400)], "track_id bigint, duration_ms int")
+    got = {}
+    for r in series.beats_of_track(g, n).collect():
+        got.setdefault(r.track_id, {})[r.beat] = (r.at_ms, r.in_bar)
+    assert got == {1: {k: (250 + 500 * k, (1 + k) % 4 + 1) for k in range(61)}, 3: {0: (9000, 1)}}
