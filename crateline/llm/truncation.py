@@ -1,55 +1,80 @@
 """Texts that end before their author's end, found by what follows the same beginning elsewhere.
 
-Two self-joins by prefix, of different grain:
+Two self-joins by prefix, of different grain, both fed by one pass over the distinct texts in sorted order:
 
 * Whole texts: distinct texts are range-partitioned and sorted; a text that is a strict prefix of another is a prefix of
   its successor in the order, so each text is compared with one neighbour.
-* Last words: only few cut texts have a longer copy, but the sentences they break off recur in part. The last one, two and
-  three words of a text are looked up among all runs of words of the corpus: how often they end a sentence, how often a
-  sentence goes on, and how often the last one is only the beginning of a longer word. The longest context seen often
-  enough decides. Statistics are over all distinct texts and leave the text itself out.
+* Last sentences: only few cut texts have a longer copy, but the sentences they break off recur in part. Every sentence of
+  the corpus is cut into prefixes of fixed length (a word and the one, two or three tokens before it, hashed), counted by
+  how the sentence goes on: it ends, it goes on, or the word itself is longer. The last such prefixes of a text that ends
+  without a sign are joined with these counts, and the longest one seen often enough decides. Statistics are over all
+  distinct texts and leave the text's own end out.
 
 A text that stands at the limit of its source's field (a length that very many of its texts share, in characters or
-bytes of UTF-8) needs stronger evidence to count as complete. Digits are alike to each other, letter case doesn't count.
+bytes of UTF-8) needs stronger evidence to count as complete. What some programs add to a text they cut (an ellipsis) is
+taken off before. Digits are alike to each other, letter case doesn't count, names (capitalised words within a sentence)
+are alike in the context of a word.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut, spread
+from ..session import splits_for, written
 
 #: Words or codes with inner marks; a character of a script without spaces; any other sign.
-TOKEN = re.compile(r"https?://\S+|[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’\-./:_][^\W_぀-ヿ㐀-鿿]+)*|\n|\S")
+TOKEN = re.compile(r"https?://\S+|[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’\-./:_][^\W_぀-ヿ㐀-鿿]+)*|\n|[^\w\s]")
+DIGIT = re.compile(r"\d")
 END_SIGNS = set(".!?。！？…)]}»›”\"'’」』】）〉》］｝")
 BREAK_SIGNS = set(".!?。！？…\n")
-OPEN_SIGNS = set(",;:(/&„“«-–—=<[{#@、，：「『（【・")
+OPEN_SIGNS = set(",;:(/&„“«-–—=<[{#@、，：「『（【・¿¡")
 #: What is left of a character whose bytes were cut.
 BROKEN = "\ufffd"
+#: An ellipsis, as a program adds it to what it cuts and as an author trails off.
+ELLIPSIS = re.compile(r"(?:\.{3}|…)$")
 #: Occurrences (of ending, going on or being longer) that a context needs to decide.
 LEAST = 3
-#: Share of endings below which a text counts as cut: usually, and at the field's limit.
-USUAL, AT_LIMIT = 0.35, 0.8
+#: Share of endings below which a text counts as cut: usually, at the field's limit, and before an ellipsis elsewhere.
+USUAL, AT_LIMIT, TRAILING = 0.35, 0.8, 0.05
+#: A word with one token before it decides alone only if its share of endings lies outside these bounds.
+UNSURE = (0.05, 0.8)
 
+START, NAME, SEP = "<s>", "<name>", "\x1f"
+#: Tokens of context before a word: of words as they are, and of names as they are.
+WIDEST, WIDEST_NAMED = 3, 2
+#: Distinct runs held by a task before they are handed on.
+RUNS_HELD = 500_000
 
-#: Codes are alike to each other, as digits are; a part of one is alike to the beginning of one.
-CODE = re.compile(r"\b[A-Za-z]{3}-\d{1,4}\b|\b[A-Za-z]{3}-(?=\s*$)|(?<![A-Za-z])[A-Z]{1,3}(?=\s*$)")
-NAME = "<name>"
+
+def is_word(t: str) -> bool:
+    return t[0].isalnum()
 
 
 def tokens(text: str) -> tuple[list[str], list[str]]:
-    """The text's tokens, and the same with a class in place of capitalised words."""
-    t = CODE.sub(lambda m: re.sub("[A-Za-z]", "a", m.group()), text)
-    raw = TOKEN.findall(re.sub(r"\d", "0", t))
-    plain = [x.lower() for x in raw]
-    return plain, [NAME if x[0].isupper() and x[-1].isalpha() else y for x, y in zip(raw, plain, strict=True)]
+    """The text's tokens in lower case with the starts of sentences, and the same with a class in place of names."""
+    exact, general = [START], [START]
+    begins = True
+    for x in TOKEN.findall(DIGIT.sub("0", text)):
+        low = x.lower()
+        exact.append(low)
+        if x in BREAK_SIGNS:
+            general.append(x)
+            exact.append(START)
+            general.append(START)
+            begins = True
+        else:
+            general.append(NAME if not begins and x[0].isupper() and x[-1].isalpha() else low)
+            begins = begins and not x[0].isalnum()
+    return exact, general
 
 
 def without_pictures(text: str) -> str:
@@ -60,113 +85,224 @@ def without_pictures(text: str) -> str:
     return text[:n]
 
 
-def is_word(t: str) -> bool:
-    return t[0].isalnum() or t.startswith("http")
-
-
-#: Contexts from wide to narrow use: one word or none, in exact and in general form.
-WIDTHS = 3
-
-
-def _before(toks: list[str], i: int) -> list[str]:
-    """Contexts of the word at i of 0, 1 and 2 tokens, within its sentence; a sentence's start is a token of its own."""
-    out = [""]
-    before: list[str] = []
-    j = i - 1
-    while j >= 0 and len(before) < WIDTHS - 1:
-        if toks[j] in BREAK_SIGNS:
-            before.append("<s>")
-            break
-        before.append(toks[j])
-        j -= 1
-    if j < 0 and len(before) < WIDTHS - 1:
-        before.append("<s>")
-    for n in range(1, len(before) + 1):
-        out.append(" ".join(reversed(before[:n])))
-    return out
+def _key(context: tuple[str, ...]) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(SEP.join(context)) - (1 << 63)
 
-def _contexts(plain: list[str], general: list[str], i: int) -> list[tuple[int, str, str]]:
-    """(rank, context, word): of two readings the one of higher rank is the more telling.
 
-    Beside the exact runs there are those with names left open in the context, and those where the word itself is left
-    open because it is a name (rank 1 and 3, marked so that they are only used for words known to be whole).
-    """
-    w = plain[i]
-    exact, open_ = _before(plain, i), _before(general, i)
-    out = [(0, "", w)]
-    for n in range(1, len(exact)):
-        out.append((4 * n, exact[n], w))
-        if n < len(open_) and open_[n] != exact[n]:
-            out.append((4 * n - 1, "~" + open_[n], w))
-        if general[i] == NAME and n < len(open_):
-            out.append((4 * n - 2, "~" + open_[n], NAME))
-    return out
+def _kind(follower: str) -> int:
+    """0 if a sentence ends before this token, 1 if it goes on, 2 at the end of the text."""
+    if follower == "":
+        return 2
+    return 0 if follower in BREAK_SIGNS or (not follower[0].isalnum() and ord(follower[0]) > 0x2000 and follower not in OPEN_SIGNS) else 1
 
 
-def _kind(toks: list[str], i: int) -> str:
-    if i + 1 == len(toks):
-        return "last"
-    n = toks[i + 1]
-    return "ends" if n in BREAK_SIGNS or (not n[0].isalnum() and ord(n[0]) > 0x2000 and n not in OPEN_SIGNS) else "goes"
+class Runs:
+    """Counts of runs of tokens, handed on as (context, word, ends, goes, last) rows.
 
+    A context that begins a sentence is only counted with the sentence's start: it goes on otherwise elsewhere.
+    """
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, word, ends, goes, last): counts of each run in the batch."""
-    for b in batches:
-        sums: dict[tuple[str, str], list[int]] = {}
-        for text in b["text"]:
-            toks, general = tokens(text)
-            for i, t in enumerate(toks):
-                if not is_word(t):
+    def __init__(self) -> None:
+        self.plain: Counter = Counter()
+        self.named: Counter = Counter()
+
+    def add(self, exact: list[str], general: list[str]) -> None:
+        g = ["", "", *general, ""]
+        self.plain.update(zip(g, g[1:], g[2:], g[3:], g[4:]))
+        if NAME in g:
+            e = ["", "", *exact]
+            self.named.update((g[i - 2], g[i - 1], e[i], g[i + 1]) for i, x in enumerate(g) if x == NAME)
+
+    def __len__(self) -> int:
+        return len(self.plain) + len(self.named)
+
+    def rows(self) -> pd.DataFrame:
+        sums: dict[tuple, list[int]] = {}
+        for counted, widest in ((self.plain, WIDEST), (self.named, WIDEST_NAMED)):
+            for run, n in counted.items():
+                word = run[-2]
+                if not word or word == START or not (word[0].isalnum() or word == NAME):
                     continue
-                k = ("ends", "goes", "last").index(_kind(toks, i))
-                for _, c, w in _contexts(toks, general, i):
-                    row = sums.get((c, w))
+                k = _kind(run[-1])
+                for width in range(widest + 1):
+                    c = run[-2 - width : -2]
+                    if START in c[1:] or "" in c or (0 < width < widest and run[-3 - width] == START):
+                        continue
+                    key = (c, word)
+                    row = sums.get(key)
                     if row is None:
-                        row = sums[c, w] = [0, 0, 0]
-                    row[k] += 1
-        keys = list(sums)
-        yield pd.DataFrame({"context": [c for c, _ in keys], "word": [w for _, w in keys], "ends": [sums[k][0] for k in keys], "goes": [sums[k][1] for k in keys], "last": [sums[k][2] for k in keys]})
+                        row = sums[key] = [0, 0, 0]
+                    row[k] += n
+        self.plain.clear()
+        self.named.clear()
+        keys: dict[tuple, int] = {}
+        contexts = [keys[c] if c in keys else keys.setdefault(c, _key(c)) for c, _ in sums]
+        return _frame(RUN, context=contexts, word=[w for _, w in sums], ends=[v[0] for v in sums.values()], goes=[v[1] for v in sums.values()], last=[v[2] for v in sums.values()])
+
+
+def asked(exact: list[str], general: list[str]) -> list[tuple[int, int, int, str]]:
+    """(place, width, context, word) of the last word, in the order in which its prefixes are believed.
+
+    The word as it is with 3, 2 and 1 tokens before it; the word as a name (places 4 to 6); the word alone (place 7).
+    """
+    out = []
+    for width in range(WIDEST, 0, -1):
+        c = tuple(general[-1 - width : -1])
+        if len(c) < width or START in c[1:] or (width < WIDEST and general[-2 - width] == START):
+            continue
+        out.append((WIDEST - width, width, _key(c), exact[-1]))
+        out.append((WIDEST - width + 4, width, _key(c), NAME))
+    out.append((7, 0, _key(()), exact[-1]))
+    return out
 
 
-def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text_id, verdict, rank, context, word): texts that a sign decides have a verdict, others their last word's contexts."""
+#: Kinds of rows of the pass: a text, one prefix of its end, the counts of a run, the texts at a partition's borders.
+TEXT, ASK, RUN, BORDER = range(4)
+COLUMNS = {
+    "kind": "tinyint", "text_id": "bigint", "h1": "bigint", "h2": "bigint", "verdict": "string", "trails": "boolean", "named": "boolean", "longer": "boolean", "goes_on": "boolean", "next_char": "string",
+    "place": "tinyint", "width": "tinyint", "context": "bigint", "word": "string", "ends": "bigint", "goes": "bigint", "last": "bigint", "pid": "int", "first_text": "string", "last_text": "string",
+}
+PANDAS = {"tinyint": "Int8", "bigint": "Int64", "int": "Int32", "boolean": "boolean", "string": object}
+
+
+def _frame(kind: int, **columns: list) -> pd.DataFrame:
+    n = len(next(iter(columns.values())))
+    data = {c: columns.get(c, [kind] * n if c == "kind" else [None] * n) for c in COLUMNS}
+    return pd.DataFrame({c: pd.array(v, dtype=PANDAS[COLUMNS[c]]) if PANDAS[COLUMNS[c]] is not object else pd.Series(v, dtype=object) for c, v in data.items()})
+
+
+def _verdict(text: str) -> tuple[str, bool]:
+    """(verdict by the last sign, whether an ellipsis was taken off): '' where the last words must decide."""
+    s = text.rstrip()
+    if not s:
+        return "complete", False
+    if s[-1] == BROKEN:
+        return "broken", False
+    cut = ELLIPSIS.sub("", s).rstrip()
+    if cut != s:
+        return ("", True) if cut and is_word(cut[-1]) else ("complete", True)
+    if s[-1] in OPEN_SIGNS or (s[-1] in "\"'" and s[-2:-1].isspace()):  # a quote after a space opens
+        return "open", False
+    if not is_word(s[-1]) and without_pictures(s)[-1:] in END_SIGNS:
+        return "complete", False
+    return "", False
+
+
+def _goes_on(text: str, longer: str) -> bool:
+    """Whether the longer copy goes on within the word or the sentence where ``text`` stops."""
+    rest = longer[len(text) :]
+    if text[-1:].isalnum() and rest[:1].isalnum():
+        return True
+    rest = rest.lstrip(" \t")
+    return rest[:1].islower() or rest[:1].isdigit() or rest[:1] in (",", ";", ":")
+
+
+def _pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of all kinds from the distinct texts of a partition, which come sorted."""
+    runs = Runs()
+    held: tuple | None = None  # the text before, until its successor is known
+    first = None
     for b in batches:
-        rows = []
-        for i, text in zip(b["text_id"], b["text"], strict=True):
-            s = text.rstrip()
-            toks, general = tokens(s)
-            if not toks:
-                rows.append((i, "complete", 0, "", ""))
-                continue
-            t = toks[-1]
-            if s[-1] == BROKEN:
-                rows.append((i, "broken", 0, "", ""))
-            elif s[-1] in OPEN_SIGNS or (s[-1] in "\"'" and s[-2:-1].isspace()):  # a quote after a space opens
-                rows.append((i, "open", 0, "", ""))
-            elif is_word(t):
-                rows += [(i, "", n, c, w) for n, c, w in _contexts(toks, general, len(toks) - 1)]
-            elif without_pictures(s)[-1:] in END_SIGNS:
-                rows.append((i, "complete", 0, "", ""))
-            else:  # no known context: a longer copy or the field's limit decides
-                rows.append((i, "", 0, "", t))
-        yield pd.DataFrame(rows, columns=["text_id", "verdict", "rank", "context", "word"])
+        texts: dict[str, list] = {c: [] for c in ("text_id", "h1", "h2", "verdict", "trails", "named", "longer", "goes_on", "next_char")}
+        asks: dict[str, list] = {c: [] for c in ("text_id", "place", "width", "context", "word")}
+
+        def note(row: tuple, successor: str | None, texts: dict[str, list] = texts) -> None:
+            text = row[-1]
+            is_prefix = successor is not None and successor.startswith(text)
+            for c, v in zip(texts, [*row[:-1], is_prefix, is_prefix and _goes_on(text, successor), successor[len(text)] if is_prefix else None], strict=True):
+                texts[c].append(v)
+
+        for i, h1, h2, text in zip(b["text_id"], b["h1"], b["h2"], b["text"], strict=True):
+            first = text if first is None else first
+            if held is not None:
+                note(held, text)
+            verdict, trails = _verdict(text)
+            exact, general = tokens(text)
+            runs.add(exact, general)
+            named = False
+            if verdict == "":
+                if trails:
+                    exact, general = tokens(ELLIPSIS.sub("", text.rstrip()))
+                if is_word(exact[-1]):
+                    named = general[-1] == NAME
+                    for place, width, context, word in asked(exact, general):
+                        for c, v in zip(asks, (i, place, width, context, word), strict=True):
+                            asks[c].append(v)
+            held = (i, h1, h2, verdict, trails, named, text)
+        if texts["text_id"]:
+            yield _frame(TEXT, **texts)
+        if asks["text_id"]:
+            yield _frame(ASK, **asks)
+        if len(runs) > RUNS_HELD:
+            yield runs.rows()
+    if held is not None:
+        row = dict(zip(("text_id", "h1", "h2", "verdict", "trails", "named"), ([v] for v in held), strict=False))
+        yield _frame(BORDER, **row, pid=[TaskContext.get().partitionId()], first_text=[first], last_text=[held[-1]])
+        yield runs.rows()
+
+
+def _read(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all rows of the pass, its texts) of distinct texts (text_id, text).
+
+    The last text of a partition has its successor in the next one: a row for each partition settles that.
+    """
+    hashed = texts.filter(F.length("text") > 0).select("text_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text")
+    placed = hashed.repartitionByRange(splits_for(texts), "text").sortWithinPartitions("text")
+    rows = written(placed.mapInPandas(_pass, ", ".join(f"{c} {t}" for c, t in COLUMNS.items())))
+    kept = ["text_id", "h1", "h2", "verdict", "trails", "named", "longer", "goes_on", "next_char"]
+    after = F.lead("first_text").over(Window.partitionBy(F.lit(1)).orderBy("pid"))
+    border = rows.filter(F.col("kind") == BORDER).withColumn("after", after)
+    is_prefix = F.coalesce(F.col("after").startswith(F.col("last_text")), F.lit(False))
+    rest = F.substr("after", F.length("last_text") + 1)
+    on = (F.col("last_text").rlike(r"[\p{L}\p{N}]$") & rest.rlike(r"^[\p{L}\p{N}]")) | rest.rlike(r"^[ \t]*[\p{Ll}\p{Nd},;:]")
+    border = border.withColumn("longer", is_prefix).withColumn("goes_on", is_prefix & F.coalesce(on, F.lit(False))).withColumn("next_char", F.when(is_prefix, F.substring(rest, 1, 1)))
+    return rows, rows.filter(F.col("kind") == TEXT).select(*kept).unionByName(border.select(*kept))
 
 
 def prefixes_of_longer(texts: DataFrame) -> DataFrame:
     """(text_id, longer, next_char): for each distinct text (text_id, text) that is a strict prefix of another, what follows.
 
-    Sorted texts are compared with their successor only; of the row at a partition's end that is the next one's first row.
+    Sorted texts are compared with their successor only. Empty texts have no row.
     """
-    n = max(2, texts.sparkSession.sparkContext.defaultParallelism * 2)
-    placed = cut(texts.filter(F.length("text") > 0).repartitionByRange(n, "text").withColumn("pid", F.spark_partition_id()))
-    firsts = placed.groupBy("pid").agg(F.min("text").alias("first"))
-    # one row for each partition: small
-    after = firsts.select("pid", F.lead("first").over(Window.partitionBy(F.lit(1)).orderBy("pid")).alias("after"))
-    successor = F.coalesce(F.lead("text").over(Window.partitionBy("pid").orderBy("text")), F.col("after"))
-    both = placed.join(after, "pid").withColumn("successor", successor)
-    return both.filter(F.col("successor").startswith(F.col("text"))).select("text_id", F.lit(True).alias("longer"), F.substring("successor", F.length("text") + 1, F.lit(1)).alias("next_char"))
+    return _read(texts)[1].filter("longer").select("text_id", "longer", "next_char")
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """(text_id, score): the share of endings among all readings of each asked text's end."""
+    asks = rows.filter(F.col("kind") == ASK).select("text_id", "place", "width", "context", "word")
+    runs = rows.filter(F.col("kind") == RUN).groupBy("context", "word").agg(*[F.sum(c).alias(c) for c in ("ends", "goes", "last")])
+    wanted = asks.select("context", "word").distinct()
+    near = written(runs.join(wanted.select("context").distinct(), "context", "left_semi"))
+    # every strict beginning of a word in its context
+    parts = F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))")
+    longer = near.filter((F.length("word") > 1) & (F.col("word") != NAME)).select("context", F.explode(parts).alias("word"), (F.col("ends") + F.col("goes") + F.col("last")).alias("c"))
+    longer = longer.groupBy("context", "word").agg(F.sum("c").alias("longer"))
+    stats = wanted.join(near, ["context", "word"], "left").join(longer, ["context", "word"], "left").fillna(0, ["ends", "goes", "last", "longer"])
+    j = asks.join(stats, ["context", "word"])
+    # the text's own end is one of the "last"
+    ending = F.col("ends") + F.greatest(F.col("last") - 1, F.lit(0))
+    weight = ending + F.col("goes") + F.col("longer")
+    j = j.withColumn("weight", weight).withColumn("score", ending / F.greatest(weight, F.lit(1)))
+    enough = F.col("weight") >= LEAST
+    sure = enough & ((F.col("width") != 1) | (F.col("score") <= UNSURE[0]) | (F.col("score") >= UNSURE[1]))
+    as_name = F.col("place").between(4, 6)
+    pick = F.struct("place", "score")
+    texts = rows.filter(F.col("kind").isin(TEXT, BORDER)).select("text_id", "named")
+    best = j.groupBy("text_id").agg(
+        F.min(F.when(sure & ~as_name, pick)).alias("sure"), F.min(F.when(sure, pick)).alias("sure_named"), F.min(F.when(enough & ~as_name, pick)).alias("some"), F.min(F.when(enough, pick)).alias("some_named"),
+        F.max(F.when(F.col("width") == 0, F.col("ends") + F.col("goes"))).alias("whole"), F.max(F.when(F.col("width") == 0, F.col("longer"))).alias("begins"), F.max(F.when(F.col("width") == 0, F.col("word"))).alias("word"),
+    )
+    best = best.join(texts, "text_id")
+    known = F.col("whole") > 0
+    # a word that stands nowhere else may be a name in lower case
+    special = F.col("named") | (~known & F.col("word").rlike(r"^\p{L}+$"))
+    chosen = F.when(special, F.coalesce("sure_named", "some_named")).otherwise(F.coalesce("sure", "some"))
+    # nowhere else a word, but the beginning of one: cut inside, unless the word's own contexts say otherwise
+    first = F.coalesce(F.when(special, F.col("sure_named.place")).otherwise(F.col("sure.place")), F.lit(99))
+    score = F.when(~known & (F.col("begins") > 0) & (first > 3), F.lit(0.0)).otherwise(chosen["score"])
+    return best.select("text_id", score.alias("score"))
 
 
 def field_limits(docs: DataFrame) -> DataFrame:
@@ -180,51 +316,35 @@ def field_limits(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, truncated, reason, score) of every document with a text.
+    """(doc_id, source, truncated, reason, score, at_limit, longer) of every document with a text.
 
     Null, empty and blank texts are complete. Equal texts of one source get one verdict. Texts that end in a sign of the
-    end or trail off with an ellipsis are complete, those that end in U+FFFD are cut inside a character; a text without any
-    known context (as one whose last sign says nothing) is complete unless it has a longer copy or stands at its field's limit. Null doc_ids have no row; a repeated doc_id counts once for each text.
+    end are complete, those that end in U+FFFD are cut inside a character. An ellipsis after a whole sentence trails off on
+    purpose; after a part of a word or sentence it doesn't. A text without any known prefix (as one whose last sign says
+    nothing) is complete unless it has a longer copy or stands at its field's limit. Null doc_ids have no row; of the rows
+    of a repeated doc_id a truncated one counts, then the greatest source.
     """
     own = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "source", "text")
-    own = spread(own, "doc_id")
-    texts = cut(own.groupBy("text").agg(F.min("doc_id").alias("text_id")))
-    runs = texts.mapInPandas(_runs, "context string, word string, ends bigint, goes bigint, last bigint").groupBy("context", "word").agg(*[F.sum(c).alias(c) for c in ("ends", "goes", "last")])
-    tails = cut(texts.mapInPandas(_tails, "text_id bigint, verdict string, rank int, context string, word string"))
-    asked = tails.filter("verdict = ''").select("context", "word").distinct()
-    runs = cut(runs)
-    near = runs.join(asked.select("context").distinct(), "context", "left_semi")
-    # every strict beginning of a word in its context
-    longer = near.filter((F.length("word") > 1) & (F.col("word") != NAME)).select("context", F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))")).alias("word"), (F.col("ends") + F.col("goes") + F.col("last")).alias("c"))
-    longer = longer.join(asked, ["context", "word"], "left_semi").groupBy("context", "word").agg(F.sum("c").alias("longer"))
-    stats = asked.join(runs, ["context", "word"], "left").join(longer, ["context", "word"], "left").fillna(0, ["ends", "goes", "last", "longer"])
-    # the text itself is one of the "last"
-    ending = F.col("ends") + F.greatest(F.col("last") - 1, F.lit(0))
-    weight = ending + F.col("goes") + F.col("longer")
-    scored = tails.filter("verdict = ''").join(stats, ["context", "word"]).withColumn("weight", weight).withColumn("score", ending / F.greatest(weight, F.lit(1)))
-    # a name in general form counts only if the word is known to be whole
-    alone = F.max(F.when(F.col("rank") == 0, F.col("ends") + F.col("goes") + F.greatest(F.col("last") - 1, F.lit(0)))).over(Window.partitionBy("text_id"))
-    scored = scored.withColumn("alone", alone).filter((F.col("weight") >= LEAST) & ((F.col("word") != NAME) | (F.col("alone") >= LEAST)))
-    best = scored.groupBy("text_id").agg(F.max_by(F.struct("score", "rank"), F.col("rank")).alias("b"))
-    verdicts = tails.select("text_id", "verdict").distinct().join(best, "text_id", "left").join(prefixes_of_longer(texts), "text_id", "left")
-    verdicts = cut(verdicts.select("text_id", "verdict", F.col("b.score").alias("score"), F.coalesce("longer", F.lit(False)).alias("longer"), "next_char"))
+    rows, texts = _read(own.groupBy("text").agg(F.min("doc_id").alias("text_id")))
+    verdicts = texts.join(_scores(rows), "text_id", "left").select("h1", "h2", "verdict", "trails", "longer", "goes_on", "score").filter("verdict <> 'complete'")
     limits = field_limits(own)
     chars = limits.filter("unit = 'chars'").select("source", F.col("at").alias("most_chars"))
     octets = limits.filter("unit = 'bytes'").select("source", F.col("at").alias("most_bytes"))
-    rows = own.join(texts, "text").select("doc_id", "source", "text_id", F.length("text").alias("chars"), F.octet_length("text").alias("octets"))
-    rows = rows.join(F.broadcast(chars), "source", "left").join(F.broadcast(octets), "source", "left")  # a row for each source
+    out = own.select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("octets"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     at_limit = F.coalesce(F.col("chars") == F.col("most_chars"), F.lit(False)) | F.coalesce((F.col("octets") <= F.col("most_bytes")) & (F.col("octets") > F.col("most_bytes") - 4), F.lit(False))
-    out = rows.withColumn("at_limit", at_limit).join(verdicts, "text_id")
-    in_word = F.col("longer") & (F.col("verdict") == "") & F.col("next_char").rlike(r"^[\p{L}\p{N}]")
-    low = F.col("score") < F.when(F.col("at_limit"), AT_LIMIT).otherwise(USUAL)
+    out = out.join(verdicts, ["h1", "h2"], "left").join(chars, "source", "left").join(octets, "source", "left").withColumn("at_limit", at_limit)
+    trails = F.coalesce("trails", F.lit(False))
+    below = F.when(F.col("at_limit"), AT_LIMIT).when(trails, TRAILING).otherwise(USUAL)
     reason = (
-        F.when(F.col("verdict") == "complete", None)
-        .when(F.col("verdict").isin("open", "broken"), F.col("verdict"))
-        .when(in_word, "prefix")
-        .when(low, "context")
+        F.when(F.col("verdict").isNull(), None)
+        .when(F.col("verdict") != "", F.col("verdict"))
+        .when(F.col("goes_on"), "prefix")
+        .when(F.col("score") < below, "context")
         .when(F.col("score").isNull() & F.col("at_limit"), "limit")
     )
-    return out.select("doc_id", "source", reason.isNotNull().alias("truncated"), reason.alias("reason"), "score", "at_limit", "longer").dropDuplicates(["doc_id"])
+    row = F.struct(reason.isNotNull().alias("truncated"), "source", reason.alias("reason"), "score", "at_limit", F.coalesce("longer", F.lit(False)).alias("longer"))
+    one = out.groupBy("doc_id").agg(F.max(row).alias("r"))
+    return one.select("doc_id", "r.source", "r.truncated", "r.reason", "r.score", "r.at_limit", "r.longer")
 
 
 def rates(verdicts: DataFrame) -> DataFrame:
