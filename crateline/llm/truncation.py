@@ -150,7 +150,7 @@ def asked(exact: list[str], general: list[str]) -> list[tuple[int, int, int, str
     out = []
     for width in range(WIDEST, 0, -1):
         c = tuple(general[-1 - width : -1])
-        if len(c) < width or START in c[1:] or (width < WIDEST and general[-2 - width] == START):
+        if len(c) < width or START in c[1:] or (width < WIDEST and general[-2 - width : -1 - width] == [START]):
             continue
         out.append((WIDEST - width, width, _key(c), exact[-1]))
         out.append((WIDEST - width + 4, width, _key(c), NAME))
