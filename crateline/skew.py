@@ -31,3 +31,21 @@ def join_counted(fact: DataFrame, dim: DataFrame, keys: list[str], count_col: st
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+#: Fact rows of one key that are joined in one part, about.
+PART_ROWS = 50_000
+
+
+def join_salted(fact: DataFrame, dim: DataFrame, key: str, counts: DataFrame, count_col: str = "n_rows", part_rows: int = PART_ROWS) -> DataFrame:
+    """Inner join of a skewed fact table with a table that may hold several rows of a key.
+
+    ``counts`` has each key's fact rows. A key with more than ``part_rows`` of them is cut into parts and its rows of
+    ``dim`` are repeated for each; at most one key in ``part_rows`` fact rows is such, which bounds what is broadcast. Null
+    keys match nothing.
+    """
+    hot = counts.filter(F.col(count_col) > part_rows).select(key, F.ceil(F.col(count_col) / part_rows).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = fact.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(*fact.columns), parts).cast("int")).drop("__parts")
+    right = dim.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")
