@@ -17,8 +17,10 @@ so they may be collected and sent to the executors.
 
 from __future__ import annotations
 
+import codecs
 import pickle
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +39,7 @@ PAIRS = [
     ("cp932", "cp1252", 1), ("cp932", "cp437", 1), ("cp932", "cp850", 1), ("euc_jp", "cp1252", 1),
 ]
 LOST = "�"
-#: Words longer than this are labelled in windows of this many characters (all of them).
+#: Words longer than this are labelled in windows of this many characters, with the whole word's evidence.
 WINDOW = 128
 
 
@@ -53,12 +55,20 @@ def read_table(codec: str) -> str:
     return "".join(out)
 
 
+class _Bytes(dict):
+    """Characters to those of the same number as their byte; others to one that isn't a byte's."""
+
+    def __missing__(self, key: int) -> int:
+        return 0xFFFF
+
+
 @lru_cache(maxsize=None)
-def _byte_of(codec: str) -> dict[str, int]:
-    table = read_table(codec)
-    back = {c: b for b, c in reversed(list(enumerate(table)))}
+def _byte_of(codec: str) -> _Bytes:
+    back = _Bytes()
+    for b, c in reversed(list(enumerate(read_table(codec)))):
+        back[ord(c)] = b
     for b in range(0x80, 0xA0):  # the same bytes read by a reader that keeps controls
-        back.setdefault(chr(b), b)
+        back.setdefault(b, b)
     return back
 
 
@@ -68,10 +78,9 @@ def garble(text: str, pair: tuple[str, str, int]) -> str | None:
     table = read_table(wrong)
     for _ in range(times):
         try:
-            data = text.encode(true)
+            text = codecs.charmap_decode(text.encode(true), "strict", table)[0]
         except UnicodeEncodeError:
             return None
-        text = "".join(table[b] for b in data)
     return text
 
 
@@ -80,15 +89,9 @@ def restore(text: str, pair: tuple[str, str, int]) -> str | None:
     true, wrong, times = pair
     back = _byte_of(wrong)
     for _ in range(times):
-        data = bytearray()
-        for c in text:
-            b = back.get(c)
-            if b is None:
-                return None
-            data.append(b)
         try:
-            text = data.decode(true)
-        except UnicodeDecodeError:
+            text = text.translate(back).encode("latin-1").decode(true)
+        except UnicodeError:
             return None
     return text
 
@@ -126,8 +129,19 @@ def n_classes() -> int:
     return 12 + len(classes())
 
 
+class _Classes(dict):
+    """The classes of the characters met so far; there are no more than characters."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = class_of(c)
+        return self[c]
+
+
+_class = _Classes()
+
+
 def encoded(word: str) -> list[int]:
-    return [0, *map(class_of, word), 0]
+    return [0, *map(_class.__getitem__, word), 0]
 
 
 class Model:
@@ -174,16 +188,20 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     c = n_classes()
     sums: dict[tuple[int, int], float] = {}
     for b in batches:
-        for word, n in zip(b["word"], b["n"], strict=True):
+        # words of one weight are counted together
+        for n, same in b.groupby("n")["word"]:
             weight = float(np.log2(1 + n))
             for k, pair in enumerate([None, *PAIRS]):
-                w = word if pair is None else garble(word, pair)
-                if w is None or (pair is not None and w == word):
-                    continue
-                e = encoded(w)
-                for x, y in zip(e, e[1:], strict=False):
+                counted: Counter = Counter()
+                for word in same:
+                    w = word if pair is None else garble(word, pair)
+                    if w is None or (pair is not None and w == word):
+                        continue
+                    e = encoded(w)
+                    counted.update(zip(e, e[1:], strict=False))
+                for (x, y), times in counted.items():
                     key = (k, x * c + y)
-                    sums[key] = sums.get(key, 0.0) + weight
+                    sums[key] = sums.get(key, 0.0) + weight * times
     if sums:
         yield pd.DataFrame({"state": [k for k, _ in sums], "bigram": [b for _, b in sums], "weight": list(sums.values())})
 
@@ -327,12 +345,16 @@ def _decide(model: Model, words: list[str], counts: list[int], readings_of: list
             # the better known of the two is likely the original; where neither is known, the likelier
             bonus[i, s] = np.clip(1.5 * np.log((known + 0.3) / (n + 0.3)), -4.0, 9.0) + np.clip(0.3 * gain, -4.0, 6.0)
     out = []
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    placed: dict[int, np.ndarray] = {}
-    for lo in range(0, len(order), 2000):
-        part = order[lo : lo + 2000]
-        for i, p in zip(part, viterbi(model, [words[i] for i in part], bonus[part]), strict=True):
-            placed[i] = p
+    # long words are labelled in windows, with the evidence of the whole word; the decision is the whole word's
+    windows = [(i, at) for i, w in enumerate(words) for at in range(0, max(len(w), 1), WINDOW)]
+    piece = lambda k: words[k[0]][k[1] : k[1] + WINDOW]
+    windows.sort(key=lambda k: (len(piece(k)), k))
+    labelled: dict[tuple[int, int], np.ndarray] = {}
+    for lo in range(0, len(windows), 2000):
+        part = windows[lo : lo + 2000]
+        for k, p in zip(part, viterbi(model, [piece(k) for k in part], bonus[[i for i, _ in part]]), strict=True):
+            labelled[k] = p
+    placed = {i: np.concatenate([labelled[i, at] for at in range(0, max(len(w), 1), WINDOW)]) for i, w in enumerate(words)}
     for i, w in enumerate(words):
         path = placed[i]
         if LOST in w:
@@ -369,10 +391,6 @@ def _decide(model: Model, words: list[str], counts: list[int], readings_of: list
     return out
 
 
-def _windows(word: str) -> list[str]:
-    return [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)] or [""]
-
-
 def garbled_words(words: DataFrame, rounds: int = 2) -> DataFrame:
     """(word, n, restored, pair) of the garbled among distinct words (word, n) that aren't plain ASCII.
 
@@ -413,17 +431,8 @@ def _labelled(words: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             ws, ns, own = list(b["word"]), [int(x) for x in b["n"]], [int(x) for x in b["own"]]
             rs = [[(r["state"], r["image"], r["gain"], r["known"]) for r in x if r["state"]] for x in b["images"]]
-            flat, owner = [], []
-            for i, w in enumerate(ws):
-                for part in _windows(w):
-                    flat.append(part)
-                    owner.append(i)
-            single = len(flat) == len(ws)
-            got = _decide(model, flat, [own[i] for i in owner], [rs[i] if single or len(ws[i]) <= WINDOW else [] for i in owner])
-            rows: dict[int, list] = {}
-            for i, g in zip(owner, got, strict=True):
-                rows.setdefault(i, []).append(g)
-            out = [(ws[i], ns[i], "".join(x[1] for x in g), next(x[2] for x in g if x[0])) for i, g in rows.items() if any(x[0] for x in g)]
+            got = _decide(model, ws, own, rs)
+            out = [(ws[i], ns[i], g[1], g[2]) for i, g in enumerate(got) if g[0]]
             yield pd.DataFrame(out, columns=["word", "n", "restored", "pair"])
 
     return weighed.mapInPandas(decide, "word string, n bigint, restored string, pair string")
