@@ -16,12 +16,12 @@ Only distinct cells are analysed; the rows join their cell's result through :fun
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 from ..skew import join_counted, union_all
 
 #: Private-use characters. One that already occurs in a cell is escaped, so a placeholder can't be mistaken for text.
@@ -29,10 +29,6 @@ HOLD, ESC, MARK = "", "", ""
 QUOTED = r'(?:(?<=^)|(?<=[;,/|\\\n\t&+·\-])|(?<=\s))"([^"]*)"(?=\s*(?:$|[;,/|\\\n\t&+·]|-\s))'
 #: A comma with a single word behind it, as in every inverted name.
 LAST_WORD = r",\s*[^\s;,/|\\&+]+\s*(?:$|[;,/|\\\n&+·]|-\s|and\s|feat|ft|vs|with|x\s)"
-#: So many learnt acts go into the pattern of a field that isn't made of names; more are looked up by a join.
-ACTS_IN_PATTERN = 100
-#: An act or inverted name has at most so many parts; longer spans are not looked up, they are split as lists.
-MAX_PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -71,6 +67,12 @@ WRITERS = FieldRule(
 )
 
 
+def packed_entries(catalogue: DataFrame, column: str = "style") -> list[str]:
+    """All entries of a fixed catalogue that contain a delimiter: a list given by hand, which is read whole."""
+    found = catalogue.filter(F.col(column).rlike("[,/&;+]")).select(column).distinct()
+    return sorted(r[0] for r in found.collect())
+
+
 def style_rule(entries: list[str]) -> FieldRule:
     """Styles: entries of the catalogue that contain a delimiter stay whole; the catalogue is small and given."""
     return FieldRule(
@@ -118,43 +120,47 @@ def _simple(cells: DataFrame, rule: FieldRule) -> DataFrame:
     return cells.filter(~F.col("cell").rlike(rule.any) & ~F.col("cell").contains('"')).select(F.lower(t).alias("name"), t.alias("as_typed")).filter("name <> ''")
 
 
-def _spans(parsed: DataFrame) -> DataFrame:
-    """Runs of 2 to MAX_PARTS neighbouring parts of each cell, with the text between."""
+def _spans(parsed: DataFrame, sizes: list[int]) -> DataFrame:
+    """Runs of neighbouring parts of each cell, with the text between, of each of the numbers of parts in ``sizes``."""
     n = F.size("arr")
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: (i % 2 == 0) & (i + 2 < n))
     runs = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(F.array(*[F.lit(k) for k in range(2, MAX_PARTS + 1)]), lambda k: i + 2 * k - 2 < n),
+        F.filter(F.array(*[F.lit(k) for k in sizes]), lambda k: i + 2 * k - 2 < n),
         lambda k: F.struct(i.alias("start"), k.alias("parts"), trimmed(F.array_join(F.slice("arr", i + 1, 2 * k - 1), "")).alias("text"), F.try_element_at("arr", i + 2).alias("sep"), F.try_element_at("arr", i + 3).alias("next"), F.try_element_at("arr", i + 1).alias("first")),
     )))
     return parsed.filter(n >= 3).select("field", "cell", F.explode(runs).alias("r")).select("field", "cell", "r.*")
 
 
-def _acts(parsed: DataFrame, names: DataFrame, rule: FieldRule) -> DataFrame:
-    """Whole cells none of whose parts stands alone, and that contain no smaller such cell."""
+def _acts(parsed: DataFrame, names: DataFrame, rule: FieldRule) -> tuple[DataFrame, list[int]]:
+    """(text) of whole cells none of whose parts stands alone, and that contain no smaller such cell; and the numbers of
+    parts that such cells have: as many as there are lengths of lists, whatever the number of rows."""
     # some part is one word: two full names between delimiters are a list, even if both are rare
     one_word = F.exists(F.filter("arr", lambda x, i: i % 2 == 0), lambda x: ~trimmed(x).rlike(r"\s"))
-    several = parsed.filter((F.size("arr") >= 3) & (F.size("arr") <= 2 * MAX_PARTS - 1) & (F.col("n_rows") >= rule.act_rows) & (F.size("held") == 0) & one_word & ~F.col("cell").rlike(rule.any_strong))
-    parts = several.select("field", "cell", F.explode(F.filter("arr", lambda x, i: i % 2 == 0)).alias("part")).select("field", "cell", F.lower(trimmed(F.col("part"))).alias("name"))
+    several = parsed.filter((F.size("arr") >= 3) & (F.col("n_rows") >= rule.act_rows) & (F.size("held") == 0) & one_word & ~F.col("cell").rlike(rule.any_strong))
+    parts = several.select("field", "cell", ((F.size("arr") + 1) / 2).cast("int").alias("parts"), F.explode(F.filter("arr", lambda x, i: i % 2 == 0)).alias("part")).select("field", "cell", "parts", F.lower(trimmed(F.col("part"))).alias("name"))
     # an empty part (a delimiter doubled or at an end) makes it a list
-    unknown = (
+    unknown = written(
         parts.join(names.select("name").distinct().withColumn("alone", F.lit(1)), "name", "left")
-        .groupBy("field", "cell")
+        .groupBy("field", "cell", "parts")
         .agg(F.max(F.when((F.col("name") == "") | F.col("alone").isNotNull(), 1).otherwise(0)).alias("some"))
         .filter("some = 0")
+        .select("field", "cell", "parts", F.lower(trimmed(F.col("cell"))).alias("text"))
     )
-    found = unknown.select("field", "cell", F.lower(trimmed(F.col("cell"))).alias("text"))
-    inside = _spans(parsed.join(unknown.select("field", "cell"), ["field", "cell"], "left_semi")).filter(F.length("text") < F.length(trimmed(F.col("cell")))).select("cell", F.lower("text").alias("text"))
-    wider = inside.join(found.select("text"), "text", "left_semi").select("cell")
-    return found.join(wider, "cell", "left_anti").select("text").distinct()
+    sizes = sorted(r.parts for r in unknown.select("parts").distinct().collect())
+    if len(sizes) > 1:  # a smaller one inside has fewer parts
+        inside = _spans(parsed.join(unknown.filter(F.col("parts") > sizes[0]).select("field", "cell"), ["field", "cell"], "left_semi"), sizes[:-1]).filter(F.length("text") < F.length(trimmed(F.col("cell")))).select("cell", F.lower("text").alias("text"))
+        wider = inside.join(unknown.select("text"), "text", "left_semi").select("cell")
+        unknown = unknown.join(wider, "cell", "left_anti")
+    return unknown.select("text").distinct(), sizes
 
 
-def _kept(parsed: DataFrame, acts: DataFrame | None, prefixes: DataFrame | None, names: DataFrame) -> DataFrame:
+def _kept(parsed: DataFrame, acts: DataFrame | None, sizes: list[int], prefixes: DataFrame | None, names: DataFrame) -> DataFrame:
     """The spans of each cell that stay whole: acts, and inverted names."""
     kinds = []
     if acts is not None:
-        kinds.append(_spans(parsed).withColumn("text", F.lower("text")).join(acts, "text", "left_semi").select("field", "cell", "start", "parts"))
+        kinds.append(_spans(parsed, sizes).withColumn("text", F.lower("text")).join(acts, "text", "left_semi").select("field", "cell", "start", "parts"))
     if prefixes is not None:
-        turned = _spans(parsed.filter(F.col("cell").rlike(LAST_WORD))).filter((F.col("parts") == 2) & F.col("sep").rlike(r"^\s*,\s*$")).withColumn("token", trimmed(F.col("next"))).filter(~F.col("token").rlike(r"\s") & (trimmed(F.col("first")) != ""))
+        turned = _spans(parsed.filter(F.col("cell").rlike(LAST_WORD)), [2]).filter(F.col("sep").rlike(r"^\s*,\s*$")).withColumn("token", trimmed(F.col("next"))).filter(~F.col("token").rlike(r"\s") & (trimmed(F.col("first")) != ""))
         initial = turned.filter(F.col("token").rlike(r"^\p{Lu}\.?$"))
         given = turned.filter(~F.col("token").rlike(r"^\p{Lu}\.?$")).withColumn("name", F.lower("token")).join(prefixes, "name", "left_semi").join(names.select("name"), "name", "left_anti")
         kinds += [x.select("field", "cell", "start", "parts") for x in (initial, given)]
@@ -201,22 +207,21 @@ def cell_values(rows: DataFrame, rules: dict[str, FieldRule], name_fields: list[
         names = cut(alone.groupBy("name").agg(F.min("as_typed").alias("as_typed")))
         first = F.split("as_typed", r"\s+", 2)
         prefixes = cut(
-            names.filter(F.size(first) == 2).select(F.lower(first[0]).alias("name"), F.lower(first[1]).alias("rest")).groupBy("name").agg(F.approx_count_distinct("rest").alias("n")).filter("n >= 2").select("name")
+            names.filter(F.size(first) == 2).select(F.lower(first[0]).alias("name"), F.lower(first[1]).alias("rest")).groupBy("name").agg(F.min("rest").alias("low"), F.max("rest").alias("high")).filter("low <> high").select("name")
         )
     out = []
     for f, rule in rules.items():
         parsed = _masked(cells.filter(F.col("field") == f), rule)
-        acts = kept = None
+        acts, sizes, kept = None, [], None
+        own = names
         if rule.act_rows:
-            own = names if rule.inverted else _simple(cells.filter(F.col("field") == f), rule).select("name").distinct()
-            acts = _acts(parsed, own, rule)
             if not rule.inverted:
-                found = acts.orderBy("text").limit(ACTS_IN_PATTERN + 1).collect()
-                if len(found) <= ACTS_IN_PATTERN:
-                    parsed = _masked(cells.filter(F.col("field") == f), replace(rule, entries=rule.entries + tuple(r.text for r in found)))
-                    acts = None
+                own = _simple(cells.filter(F.col("field") == f), rule).select("name").distinct()
+            acts, sizes = _acts(parsed, own, rule)
+            if not sizes:  # none was learnt
+                acts = None
         if acts is not None or rule.inverted:
-            kept = _kept(parsed, acts, prefixes if rule.inverted else None, names if rule.inverted else own)
+            kept = _kept(parsed, acts, sizes, prefixes if rule.inverted else None, own)
         out.append(_values(parsed, kept, rule))
     return union_all(out)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.values import PEOPLE, WRITERS, split_values, style_rule
+from ..operators.values import PEOPLE, WRITERS, packed_entries, split_values, style_rule
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,5 @@ def query(sql: str | None = None):
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per value of each cell of artist, genre and composer that holds several."""
-    entries = [r.style for r in table(spark, d, "style_list").filter(F.col("style").rlike("[,/&;+]")).select("style").distinct().orderBy("style").limit(5000).collect()]
-    rules = {"artist": PEOPLE, "genre": style_rule(entries), "composer": WRITERS}
+    rules = {"artist": PEOPLE, "genre": style_rule(packed_entries(table(spark, d, "style_list"))), "composer": WRITERS}
     return split_values(table(spark, d, "tracks"), "id", rules, ["remixer", "album_artist"]).select(F.col("id").alias("track_id"), "field", "pos", "val")
