@@ -19,14 +19,14 @@ from itertools import product
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..operators.values import cell_values, style_rule, trimmed
+from ..operators.values import cell_values, packed_entries, style_rule, trimmed
 from ..session import cut
 from ..skew import join_counted
 
-#: Entries in one trie; a longer list is searched in blocks, one trie each, so what is broadcast is bounded.
-BLOCK = 5_000
+#: Entries in one trie; a longer list is searched in blocks, one trie each, so what a worker holds is bounded. The result is
+#: the same: the blocks' best hits are compared by the whole ranking.
+BLOCK = 1_000
 
 # Other spellings of common words of genre names.
 WORD_ALIASES = {
@@ -89,19 +89,25 @@ def word_forms(w: str) -> dict[str, bool]:
     return forms
 
 
+def sole_firsts(entries: list[tuple[int, str]]) -> set[int]:
+    """Entries whose first word begins no other."""
+    by_word: dict[str, list[int]] = {}
+    for i, text in entries:
+        for w in words(text)[:1]:
+            by_word.setdefault(w, []).append(i)
+    return {ids[0] for ids in by_word.values() if len(ids) == 1}
+
+
 class Trie:
     """Entries (id, text) with their alias paths. Nodes are parallel lists; ``most`` is the largest limit below a node."""
 
-    def __init__(self, entries: list[tuple[int, str]]):
+    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None):
+        """``sole_first``: entries whose first word begins no other entry of the whole list; by default of ``entries``."""
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, int, bool]]] = [[]]  # (entry, limit, is the entry's own spelling)
         self.most = [0]
-        firsts: dict[str, int] = {}
-        for _, text in entries:
-            ws = words(text)
-            if ws:
-                firsts[ws[0]] = firsts.get(ws[0], 0) + 1
-        own = {"".join(words(t)) for _, t in entries}
+        if sole_first is None:
+            sole_first = sole_firsts(entries)
         for i, text in entries:
             ws = words(text)
             if not ws:
@@ -113,13 +119,12 @@ class Trie:
                     for combo in product(*[word_forms(w).items() for w in order]):
                         path = "".join(f for f, _ in combo)
                         full = all(ok for _, ok in combo)
-                        # a short alias that spells another entry is that entry
-                        if full or path not in own:
-                            self.add(path, i, 9 if full else 0, full and straight)
+                        # an alias that spells another entry loses to that entry's own spelling in the ranking
+                        self.add(path, i, 9 if full else 0, full and straight)
             else:
                 for order in sorted(orders):
                     self.add("".join(order), i, 9, order == tuple(ws))
-            if len(ws) == 2 and firsts[ws[0]] == 1 and len(ws[0]) >= 7 and "".join(ws[:1]) not in own:
+            if len(ws) == 2 and i in sole_first and len(ws[0]) >= 7:
                 self.add(ws[0], i, 0, False)
             if len(ws) >= 2 and re.search(r"&|\band\b", text):  # X & Y: X'n'Y, XnYr
                 self.add(ws[0][0] + ws[-1], i, 0, False)
@@ -193,8 +198,8 @@ class Trie:
 class Matcher:
     """Typed values to entries."""
 
-    def __init__(self, entries: list[tuple[int, str]]):
-        self.trie = Trie(entries)
+    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None):
+        self.trie = Trie(entries, sole_first)
         self.text = dict(entries)
         self.folded = {i: "".join(words(t)) for i, t in entries}
         self.seen_words = {w for _, t in entries for w in words(t)}
@@ -227,18 +232,22 @@ class Matcher:
                     return {e: (*k, self.folded[e][0] != typed[0]) for e, k in hits.items()}
         return {}
 
-    def match(self, value: str) -> tuple[int, int]:
-        """(entry id, distance), or (0, -1) if no entry lies within the limit. Of equals the smaller id."""
+    def ranked(self, value: str) -> tuple[int, int, int, bool]:
+        """(entry id, distance, 0 by its own spelling else 1, first letters differ) of the best entry; id 0 if none is near."""
         got = self.candidates(value)
         if not got:
-            return 0, -1
+            return 0, -1, 0, False
         e, k = min(got.items(), key=lambda x: (x[1], x[0]))
-        return e, k[0]
+        return e, *k
+
+    def match(self, value: str) -> tuple[int, int]:
+        """(entry id, distance), or (0, -1) if no entry lies within the limit. Of equals the smaller id."""
+        return self.ranked(value)[:2]
 
 
 @lru_cache(maxsize=4)
-def _matcher(entries: tuple[tuple[int, str], ...]) -> Matcher:
-    return Matcher(list(entries))
+def _matcher(entries: tuple[tuple[int, str], ...], sole_first: frozenset[int]) -> Matcher:
+    return Matcher(list(entries), set(sole_first))
 
 
 def match_values(values: DataFrame, styles: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -249,34 +258,34 @@ def match_values(values: DataFrame, styles: DataFrame, block: int = BLOCK) -> Da
     """
     distinct = values.select("val").filter(F.col("val").isNotNull()).distinct()
     rows = styles.filter(F.col("style_id").isNotNull() & F.col("style").isNotNull()).select("style_id", "style").distinct().orderBy("style_id")
-    n = rows.count()
-    blocks = []
-    if n <= block:
-        blocks.append(tuple((r.style_id, r.style) for r in rows.collect()))
-    else:  # the list itself is too long to broadcast at once: one pass over the values for each block of it
-        for k in range(-(-n // block)):
-            part = rows.filter(F.pmod(F.xxhash64("style_id"), F.lit(-(-n // block))) == k).collect()
-            blocks.append(tuple((r.style_id, r.style) for r in part))
-    schema = T.StructType([T.StructField("val", T.StringType()), T.StructField("style_id", T.IntegerType()), T.StructField("distance", T.IntegerType())])
+    # the list is given by hand; its ids and texts pass the driver, the tries are made in the workers block by block
+    listed = [(r.style_id, r.style) for r in rows.toLocalIterator()]
+    sole = sole_firsts(listed)
+    blocks = [tuple(listed[k : k + block]) for k in range(0, len(listed), block)] or [()]
 
     def mapper(entries):
+        first = frozenset(i for i, _ in entries if i in sole)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = _matcher(entries)
+            m = _matcher(entries, first)
             for b in batches:
-                got = [m.match(v) for v in b["val"]]
-                yield pd.DataFrame({"val": b["val"], "style_id": [e for e, _ in got], "distance": [d for _, d in got]}).astype({"style_id": "int32", "distance": "int32"})
+                got = [m.ranked(v) for v in b["val"]]
+                yield pd.DataFrame({"val": b["val"], **{c: [g[k] for g in got] for k, c in enumerate(("style_id", "distance", "alias", "other_letter"))}}).astype({"style_id": "int32", "distance": "int32", "alias": "int32"})
 
         return run
 
     cores = distinct.sparkSession.sparkContext.defaultParallelism
-    # match time varies a lot with the value, so small tasks; the values are few
-    spreadout = distinct.repartition(2 * cores, "val")
+    # match time varies a lot with the value, so small tasks; the values are few. (By the value itself it would be no shuffle
+    # of its own, and joined to fewer tasks.)
+    spreadout = distinct.repartition(4 * cores, F.xxhash64("val"))
+    schema = "val string, style_id int, distance int, alias int, other_letter boolean"
     parts = [spreadout.mapInPandas(mapper(e), schema) for e in blocks]
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].select("val", "style_id", "distance")
     from ..skew import union_all
 
-    nearest = F.struct(F.when(F.col("style_id") == 0, 1).otherwise(0), F.col("distance"), F.col("style_id"))
+    # a block that reads the value exactly comes before one that finds it by edits, as within one trie
+    nearest = F.struct(F.when(F.col("style_id") == 0, 1).otherwise(0), F.col("distance"), F.col("alias"), F.col("other_letter"), F.col("style_id"))
     return union_all(parts).groupBy("val").agg(F.min(nearest).alias("m")).select("val", F.col("m.style_id").alias("style_id"), F.col("m.distance").alias("distance"))
 
 
@@ -294,8 +303,7 @@ def canonical_styles(tracks: DataFrame, releases: DataFrame, styles: DataFrame)
     without an entry has style_id 0.
     """
     listed = styles.filter(F.col("style").isNotNull()).select("style").distinct()
-    own = [r.style for r in listed.filter(F.col("style").rlike("[,/&;+]")).orderBy("style").limit(BLOCK).collect()]
-    cells = cell_values(tracks, {"genre": style_rule(own)}, [])
+    cells = cell_values(tracks, {"genre": style_rule(packed_entries(listed))}, [])
     per_cell = cut(cells.select("cell", "n_rows", F.posexplode("values").alias("p", "val")).select("cell", "n_rows", (F.col("p") + 1).cast("int").alias("pos"), "val").join(listed.withColumnRenamed("style", "val"), "val", "left_anti"))
     found = cut(release_styles(releases).distinct().join(listed.withColumnRenamed("style", "val"), "val", "left_anti"))
     all_values = per_cell.select("val").unionByName(found.select("val"))
