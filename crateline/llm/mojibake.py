@@ -26,10 +26,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 from ..skew import join_counted
 
 #: (bytes were in, were read as, times): the pairs that are modelled.
@@ -396,15 +396,21 @@ def garbled_words(words: DataFrame, rounds: int = 2) -> DataFrame:
 
     Each round labels all words; the next one learns its clean state from those left unlabelled.
     """
-    words = cut(words.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "word"))
+    words = written(words.repartition(2 * words.sparkSession.sparkContext.defaultParallelism, "word"))
+    # case and surrounding punctuation don't matter for how well a word is known
+    known = written(words.groupBy(_bare("word").alias("bare")).agg(F.sum("n").alias("known")))
     found, clean = None, None
     for _ in range(rounds):
-        found = cut(_labelled(words, fit(words, clean)))
+        found = written(_labelled(words, known, fit(words, clean)))
         clean = words.join(found.select("word"), "word", "left_anti")
     return found
 
 
-def _labelled(words: DataFrame, model: Model) -> DataFrame:
+def _bare(c: str) -> Column:
+    return F.lower(F.regexp_replace(c, r"^[\x00-\x7F&&[^A-Za-z0-9]]+|[\x00-\x7F&&[^A-Za-z0-9]]+$", ""))
+
+
+def _labelled(words: DataFrame, known: DataFrame, model: Model) -> DataFrame:
     blob = pickle.dumps(model)
     sc = words.sparkSession.sparkContext
     key = hash(blob)
@@ -417,12 +423,9 @@ def _labelled(words: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(rows, columns=["word", "n", "state", "image", "gain"])
 
     images = words.mapInPandas(read, "word string, n bigint, state int, image string, gain double")
-    # case and surrounding punctuation don't matter for how well a word is known
-    bare = lambda c: F.lower(F.regexp_replace(c, r"^[\x00-\x7F&&[^A-Za-z0-9]]+|[\x00-\x7F&&[^A-Za-z0-9]]+$", ""))
-    known = cut(words.groupBy(bare("word").alias("bare")).agg(F.sum("n").alias("known")))
     own = known.select(F.col("bare").alias("own_bare"), F.col("known").alias("own"))
     weighed = (
-        images.withColumn("bare", bare("image")).withColumn("own_bare", bare("word")).join(known, "bare", "left").join(own, "own_bare", "left")
+        images.withColumn("bare", _bare("image")).withColumn("own_bare", _bare("word")).join(known, "bare", "left").join(own, "own_bare", "left")
         .groupBy("word").agg(F.first("n").alias("n"), F.max("own").alias("own"), F.collect_list(F.struct("state", "image", "gain", F.coalesce("known", F.lit(0)).alias("known"))).alias("images"))
     )
 
@@ -440,13 +443,13 @@ def _labelled(words: DataFrame, model: Model) -> DataFrame:
 
 def garbled_texts(cells: DataFrame) -> DataFrame:
     """(cell, n_rows, restored, pairs) of the garbled among distinct texts (cell, n_rows)."""
-    cells = cut(cells.filter(F.col("cell").rlike(r"[^\x00-\x7F]")))
+    cells = written(cells.filter(F.col("cell").rlike(r"[^\x00-\x7F]")))
     # words and the single characters between them
     pieces = F.split("cell", r"(?<=[ _])|(?=[ _])", -1)
     parts = cells.select("cell", "n_rows", F.posexplode(pieces).alias("pos", "word"))
     foreign = parts.filter(F.col("word").rlike(r"[^\x00-\x7F]"))
     words = foreign.groupBy("word").agg(F.sum("n_rows").alias("n"))
-    bad = cut(garbled_words(words).withColumn("n_rows", F.col("n")))
+    bad = written(garbled_words(words).withColumn("n_rows", F.col("n")))
     hit = join_counted(foreign.select("cell", "pos", "word"), bad.select("word", "restored", "pair", "n_rows"), ["word"])
     mended = hit.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("pos", "restored"))).alias("by_pos"), F.array_join(F.sort_array(F.collect_set("pair")), ",").alias("pairs"))
     texts = F.array_join(F.transform(pieces, lambda w, i: F.coalesce(F.try_element_at("by_pos", i), w)), "")
@@ -460,5 +463,5 @@ def garbled_cells(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     Null, empty and plain ASCII cells are never garbled; a repeated row counts once; null ids give no row.
     """
     long = rows.filter(F.col(id_col).isNotNull()).select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields])).alias("s")).select(id_col, "s.*").filter(F.col("cell").rlike(r"[^\x00-\x7F]")).distinct()
-    done = cut(garbled_texts(long.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))))
+    done = written(garbled_texts(long.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))))
     return join_counted(long, done, ["cell"]).select(id_col, "field", "cell", "restored", "pairs")
