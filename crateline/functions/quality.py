@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 # Fixed values of the verdict: an edge of this many dB/kHz is an encoder's wall, a wall from this frequency on is only suspect.
 STEEP_DB_PER_KHZ = 25.0
 HIGH_WALL_HZ = 20_000.0
-# Cut-off frequency (Hz, at least) and the source it hints at.
+# Cut-off frequency (Hz, at least) and the source it hints at; what is shown for a verdict.
 SOURCE_GUESSES = [(20_000.0, "~320 kbps (or lossless w/ 20 kHz shelf)"), (18_500.0, "~256 kbps"), (15_500.0, "~192 kbps / AAC"), (13_500.0, "~128 kbps")]
 LOWEST_GUESS = "≤96 kbps"
+CHIPS = {"clean": "clean", "inconclusive": "clean", "suspect": "~320?", "likely_lossy": "lossy"}
+BLURBS = {
+    "clean": "No transcode signature. Looks fine.", "inconclusive": "No transcode signature. Looks fine.", "suspect": "Sharp cutoff near 20 kHz, possibly a 320 kbps transcode",
+    "likely_lossy": "Brick wall well below Nyquist, almost certainly a lossy transcode",
+}
+UNCHECKED = "Not checked yet. Run Analyze to scan for lossy transcodes."
 LOSSLESS = ["flac", "wav", "aiff"]
 SEVERITY = {"clean": 0, "inconclusive": 1, "suspect": 2, "likely_lossy": 3}
 
@@ -69,3 +75,22 @@ def is_lossless(fmt: Column | str) -> Column:
 def copy_rank(is_clean: Column, fmt: Column, kbps: Column, ordinal: Column) -> Column:
     """Comparable rank of a copy, larger is better; the later of equals wins."""
     return F.struct(is_clean.cast("int"), is_lossless(fmt).cast("int"), F.coalesce(kbps, F.lit(0)).cast("bigint"), ordinal)
+
+
+def _shown(word: Column, texts: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in texts.items():
+        out = F.when(word == k, v).otherwise(out)
+    return out
+
+
+def chip(word: Column) -> Column:
+    """The short label of a verdict; gentle roll-offs are no flaw."""
+    return _shown(word, CHIPS)
+
+
+def blurb(word: Column, cut_hz: Column) -> Column:
+    """The verdict in words with the cut-off, and for a transcode its likely source; what to do if there is none."""
+    cut = F.when(cut_hz.isNotNull(), F.concat(F.lit("\nLow-pass cutoff: "), F.format_string("%.1f", cut_hz / 1000), F.lit(" kHz")))
+    source = F.when(word.isin("suspect", "likely_lossy"), F.concat(F.lit("\nEstimated source: "), source_guess(cut_hz)))
+    return F.when(word.isNull(), UNCHECKED).otherwise(F.concat_ws("", _shown(word, BLURBS), cut, source))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: The modules whose queries are registered when they are imported.
+MODULES = ["queries", "scalars"]
+
+
+def load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"{__package__}.{m}")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
