@@ -84,3 +84,24 @@ def siblings(tracks: DataFrame) -> DataFrame:
 def without(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key isn't in ``right``; a null key is in nothing."""
     return left.join(right.select(key).distinct(), key, "left_anti")
+
+
+def missing_files(tracks: DataFrame, listing: DataFrame) -> DataFrame:
+    """(id, source_path, label) of tracks whose path isn't in ``listing`` (source_path), by path; null paths aren't files."""
+    from ..functions.text import file_name, filled
+
+    t = latest(tracks, "source_path", "artist", "title").filter(F.col("source_path").isNotNull())
+    a, b = filled(F.col("artist")), filled(F.col("title"))
+    label = F.coalesce(F.concat(a, F.lit(" — "), b), b, a, file_name(F.col("source_path")))
+    return without(t, listing, "source_path").select("id", "source_path", label.alias("label")).orderBy("source_path", "id")
+
+
+def display_rows(tracks: DataFrame, analysis: DataFrame, art: DataFrame) -> DataFrame:
+    """Latest tracks with their analysis and whether they have art, embedded or outside (``art``: track_id)."""
+    outside = art.filter(F.col("track_id").isNotNull()).select(F.col("track_id").alias("id"), F.lit(True).alias("outside")).distinct()
+    v = with_analysis(tracks, analysis).join(outside, "id", "left")
+    shown = F.coalesce(F.concat(F.col("bitrate_kbps").cast("string"), F.lit(" kbps")), F.lit(""))
+    return v.select(
+        "id", "artist", "title", "album", "genre", "album_artist", "comment", "year", "format", shown.alias("bitrate"), "bitrate_kbps", "duration_ms", "added_at", F.round("bpm", 1).alias("bpm"),
+        (F.col("has_cover") | F.coalesce("outside", F.lit(False))).alias("has_art"),
+    )

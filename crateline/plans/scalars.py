@@ -26,11 +26,11 @@ def filename_fields(s, d):
 
 @query(f"""WITH {T} SELECT id, CASE WHEN CAST(regexp_extract(release_date, '^(\\d+)', 1) AS VARCHAR) <> '' AND TRY_CAST(regexp_extract(release_date, '^(\\d+)', 1) AS INTEGER) BETWEEN 1900 AND 2200 THEN TRY_CAST(regexp_extract(release_date, '^(\\d+)', 1) AS INTEGER) END AS released,
     CASE WHEN bpm_tag BETWEEN 1 AND 400 THEN bpm_tag END AS tempo, CASE WHEN floor(bpm_tag) = bpm_tag THEN CAST(CAST(bpm_tag AS BIGINT) AS VARCHAR) ELSE CAST(CAST(bpm_tag AS DECIMAL(9, 2)) AS VARCHAR) END AS tempo_text,
-    CAST(CAST(round(CAST(CAST(bpm_tag AS DOUBLE) / 100 - 3 AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || ' dB' AS gain, CAST(round(CAST(CAST(bpm_tag AS DOUBLE) / 100 - 3 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS gain_back FROM t""")
+    CAST(CAST(round(CAST(floor(bpm_tag::DOUBLE) / 8 - 12 AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || ' dB' AS gain, CAST(round(CAST(floor(bpm_tag::DOUBLE) / 8 - 12 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS gain_back FROM t""")
 def tag_numbers(s, d):
     """Numbers of tags read and written: years, tempi, gains."""
     t = catalog.latest(tracks(s, d), "release_date", "bpm_tag")
-    gain = text.decibels(F.col("bpm_tag").cast("double") / 100 - 3)
+    gain = text.decibels(F.floor("bpm_tag") / 8 - 12)
     whole = F.col("bpm_tag") == F.floor("bpm_tag")
     shown = F.when(whole, text.plain_number(F.col("bpm_tag"))).otherwise(F.col("bpm_tag").cast("decimal(9,2)").cast("string"))
     return t.select("id", text.parse_year(F.col("release_date")).alias("released"), text.tempo_tag(F.col("bpm_tag")).alias("tempo"), shown.alias("tempo_text"), gain.alias("gain"), F.round(text.parse_decibels(gain), 6).alias("gain_back"))
