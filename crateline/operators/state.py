@@ -69,3 +69,17 @@ def fills(tags: DataFrame, detail: DataFrame, key: str, columns: list[str], over
 def pruned(rows: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """Rows whose key is to be kept; with nothing to keep nothing stays."""
     return rows.join(keep.select(key).distinct(), key, "left_semi")
+
+
+def fetched_marked(rows: DataFrame, ids: DataFrame, now: int) -> DataFrame:
+    """``fetched_at`` of (id, fetched_at) set to ``now`` for the ids (id)."""
+    m = ids.select("id").distinct().withColumn("m", F.lit(True))
+    return rows.join(m, "id", "left").select("id", F.when(F.col("m"), F.lit(now)).otherwise(F.col("fetched_at")).cast("bigint").alias("fetched_at"))
+
+
+def fetched_cleared(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``fetched_at`` of (id, fetched_at) cleared for the ids (id); without ids for all rows."""
+    if ids is None:
+        return rows.select("id", F.lit(None).cast("bigint").alias("fetched_at"))
+    m = ids.select("id").distinct().withColumn("m", F.lit(True))
+    return rows.join(m, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("fetched_at")).alias("fetched_at"))
