@@ -105,3 +105,21 @@ def display_rows(tracks: DataFrame, analysis: DataFrame, art: DataFrame) -> Data
         "id", "artist", "title", "album", "genre", "album_artist", "comment", "year", "format", shown.alias("bitrate"), "bitrate_kbps", "duration_ms", "added_at", F.round("bpm", 1).alias("bpm"),
         (F.col("has_cover") | F.coalesce("outside", F.lit(False))).alias("has_art"),
     )
+
+
+def grades(tracks: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(key_grade, tempo_grade, n) of analysed tracks against their tags (wheel labels and tempi).
+
+    Keys: exact, relative (the other side of one place), adjacent (the next place on one side), other. Tempi: ok within 2,
+    octave if half or double is, else miss. 'unknown' where either side is missing or no wheel label.
+    """
+    from ..functions.keys import parse_camelot
+
+    v = with_analysis(tracks, analysis).filter("analyzer_version is not null")
+    n, side = parse_camelot(F.trim("initial_key_tag"))
+    mine, mine_side = camelot_number(F.col("key_tonic"), is_major()), is_major()
+    step = F.pmod(n - mine, F.lit(12))
+    key = F.when(n.isNull() | mine.isNull(), "unknown").when((step == 0) & (side == mine_side), "exact").when(step == 0, "relative").when((side == mine_side) & step.isin(1, 11), "adjacent").otherwise("other")
+    off = lambda f: F.abs(F.col("bpm") * f - F.col("bpm_tag"))
+    tempo = F.when(F.col("bpm").isNull() | F.col("bpm_tag").isNull(), "unknown").when(off(1) <= 2, "ok").when((off(2) <= 2) | (off(0.5) <= 2), "octave").otherwise("miss")
+    return v.groupBy(key.alias("key_grade"), tempo.alias("tempo_grade")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,25 +95,112 @@ def bits_of_signs(vec: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("bigint"), lambda a, i: F.shiftleft(a, 1).bitwiseOR(F.when(F.try_element_at(vec, i) > 0, 1).otherwise(0).cast("bigint")))
 
 
+#: Bits of a signature's blocks: long enough that two unrelated ones seldom agree.
+BLOCK_BITS = 16
+
+
+def _flips(radius: int) -> list[int]:
+    """The masks that flip at most ``radius`` bits of a block."""
+    return [sum(1 << k for k in bits) for r in range(radius + 1) for bits in combinations(range(BLOCK_BITS), r)]
+
+
 def near_signatures(rows: DataFrame, id_col: str, most: int = 11) -> DataFrame:
     """(a, b, errors), a < b: 64-bit signatures that differ in at most ``most`` bits.
 
-    Split into most + 1 blocks two such signatures agree in one block at least, so the join on (block, bits) loses no pair.
-    Equal signatures are compared once for all their rows and come out as links to the smallest id.
+    Of four blocks of 16 bits one differs in at most ``most // 4`` bits, so each signature looks up the neighbourhood of
+    each of its blocks, and no pair is lost. A wide neighbourhood (more than two bits) is met half way by both sides. Limits
+    beyond 19 bits, where nearly all pairs would meet, are refused. Equal signatures are compared once for all their rows and
+    come out as links to the smallest id. Null signatures are near to nothing.
     """
-    reps = rows.groupBy("bits").agg(F.min(id_col).alias("rep"))
-    blocks = most + 1
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    parts = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col("bits"), cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)).alias("piece")) for k in range(blocks)])
-    long = reps.select("rep", "bits", F.explode(parts).alias("p")).select("rep", "bits", "p.*")
-    left = long.select("block", "piece", F.col("rep").alias("a"), F.col("bits").alias("x"))
-    right = long.select("block", "piece", F.col("rep").alias("b"), F.col("bits").alias("y"))
+    if not 0 <= most < 20:
+        raise ValueError("signatures are compared up to 19 bits")
+    radius = most // 4
+    near_side = radius if radius <= 2 else radius // 2
+    reps = rows.filter(F.col("bits").isNotNull()).groupBy("bits").agg(F.min(id_col).alias("rep"))
+    block = lambda k: F.shiftrightunsigned("bits", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    parts = F.array(*[F.struct(F.lit(k).alias("block"), block(k).alias("piece")) for k in range(64 // BLOCK_BITS)])
+    long = cut(reps.select("rep", "bits", F.explode(parts).alias("p")).select("rep", "bits", "p.block", "p.piece"))
+    around = lambda r: long.withColumn("piece", F.explode(F.array(*[F.col("piece").bitwiseXOR(F.lit(m)) for m in _flips(r)]))) if r else long
+    left = around(near_side).select("block", "piece", F.col("rep").alias("a"), F.col("bits").alias("x"))
+    right = around(radius - near_side).select("block", "piece", F.col("rep").alias("b"), F.col("bits").alias("y"))
     errors = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     near = left.join(right, ["block", "piece"]).filter((F.col("a") < F.col("b")) & (errors <= most)).select("a", "b", errors.cast("int").alias("errors")).distinct()
     same = rows.join(reps, "bits").filter(F.col(id_col) > F.col("rep")).select(F.col("rep").alias("a"), F.col(id_col).alias("b"), F.lit(0).alias("errors"))
     return near.unionByName(same)
 
 
+#: Words of a track's print that are compared, those of the least hash; and rows from which a word is frequent.
+SKETCH, FREQUENT = 64, 200
+
+
+def print_candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: prints (rep, words) that share a word of their sketches.
+
+    A sketch is the SKETCH distinct words of the least hash, so it doesn't matter where in the track they stand. A word
+    that more than FREQUENT sketches hold counts only together with the next one of the sketch. Of two copies with two of 24
+    bits changed in each word an eighth of the words is equal; they share a sketch word in 98 of 100 cases.
+    """
+    hashes = F.slice(F.sort_array(F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))), 1, SKETCH)
+    own = cut(prints.select("rep", F.posexplode(hashes).alias("p", "word")))
+    hot = own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT).select("word", F.lit(True).alias("hot"))
+    marked = own.join(hot, "word", "left")
+    single = marked.filter("hot is null").select("rep", F.col("word").alias("key"))
+    after = own.select("rep", (F.col("p") - 1).alias("p"), F.col("word").alias("after"))
+    double = marked.filter("hot").select("rep", "p", "word").join(after, ["rep", "p"]).select("rep", F.xxhash64("word", "after").alias("key"))
+    keys = cut(single.unionByName(double))
+    return keys.select(F.col("rep").alias("a"), "key").join(keys.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+
+
+def print_matches(prints: DataFrame, candidates: DataFrame, most: float = 0.18) -> DataFrame:
+    """(a, b, error): candidates whose least bit error rate over all shifts is at most ``most``; too short ones never match."""
+    from ..functions.dsp import bit_error_rate
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            errors = [bit_error_rate(np.asarray(x), np.asarray(y)) for x, y in zip(b["x"], b["y"], strict=True)]
+            keep = [e is not None and e <= most for e in errors]
+            yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "error": [e for e, k in zip(errors, keep, strict=True) if k]})
+
+    x, y = (prints.select(F.col("rep").alias(s), F.col("words").alias(w)) for s, w in (("a", "x"), ("b", "y")))
+    # a print has a thousand words and more: small batches
+    return candidates.join(x, "a").join(y, "b").mapInPandas(run, "a bigint, b bigint, error double")
+
+
+def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000, most: float = 0.18) -> DataFrame:
+    """(id, component, n): the tracks of each acoustic group, by its smallest id.
+
+    tracks: (id, duration_ms, fingerprint, artist, title); prints: (id, words). Two tracks are linked if their prints match
+    and their durations lie within ``width`` (a null one is 0); groups are the components of the links. Groups of one file
+    (one fingerprint, all non-empty) or of one artist and title are the other kinds' and left out.
+
+    Equal prints are one class, and a class's tracks are cut by duration into stretches of ``width``, in which all are
+    linked. Links are made between stretches, never between all tracks, so a class with a third of the rows has a few
+    hundred of them.
+    """
+    own = prints.filter(F.size("words") > 0).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
+    reps = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("words", "id").alias("words")))
+    near = print_matches(reps.select("rep", "words"), print_candidates(reps.select("rep", "words")), most).select("a", "b")
+    rows = own.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).join(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v")), "id").select("id", "rep", F.floor(F.col("v") / width).alias("place"), "v")
+    rows = cut(rows)
+    nodes = cut(rows.groupBy("rep", "place").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("id").alias("node"), F.count(F.lit(1)).alias("m")))
+    # stretches of like classes that are the same or next to each other, a class being like itself
+    alike = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(reps.filter(F.size("words") >= 80).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    one = nodes.select(F.col("rep").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("node").alias("x"), F.explode(F.sequence(F.col("place"), F.col("place") + 1)).alias("place"))
+    two = nodes.select(F.col("rep").alias("b"), "place", "lo", "hi", F.col("node").alias("y"))
+    edges = alike.join(one, "a").join(two, ["b", "place"]).filter((F.col("lo") - F.col("hi1") <= width) & (F.col("lo1") - F.col("hi") <= width) & (F.col("x") != F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = components(edges)
+    long_enough = reps.filter(F.size("words") >= 80).select("rep")
+    alone = nodes.filter("m >= 2").join(long_enough, "rep", "left_semi").join(groups.select(F.col("id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
+    by_node = groups.select(F.col("id").alias("node"), "component").unionByName(alone)
+    found = cut(rows.join(nodes.select("rep", "place", "node"), ["rep", "place"]).join(by_node, "node").select("id", "component"))
+    artist, title = F.lower(F.trim("artist")), F.lower(F.trim("title"))
+    tagged = tracks.select("id", F.when(F.trim("fingerprint") != "", F.col("fingerprint")).alias("fp"), F.when((artist != "") & (title != ""), F.concat(artist, F.lit("\x1f"), title)).alias("k"))
+    g = found.join(tagged, "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), *[f(c).alias(m + c) for c in ("fp", "k") for m, f in (("n_", F.count), ("low_", F.min), ("high_", F.max))])
+    same = lambda c: (F.col("n_" + c) == F.col("n")) & F.coalesce(F.col("low_" + c) == F.col("high_" + c), F.lit(False))
+    kept = g.filter((F.col("n") >= 2) & ~same("fp") & ~same("k")).select("component", "n", "first")
+    return found.join(kept, "component").select("id", F.col("first").alias("component"), "n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each vertex of the edges (a, b) is connected with.
 
@@ -130,3 +222,15 @@ def components(edges: DataFrame) -> DataFrame:
     members = both.select(F.col("b").alias("id"), F.col("a").alias("component"))
     roots = both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return members.unionByName(roots).distinct()
+
+
+def proposals(copies: DataFrame) -> DataFrame:
+    """(group_key, track_id, proposal): 'keep' for the best copy of each group, 'delete' for the others.
+
+    copies: (group_key, track_id, clean, format, bitrate_kbps). The best one is found by a partial maximum and joined back.
+    """
+    from ..functions.quality import copy_rank
+
+    rank = copy_rank(F.col("clean"), F.col("format"), F.col("bitrate_kbps"), F.col("track_id"))
+    best = copies.groupBy("group_key").agg(F.max_by("track_id", rank).alias("best_id"))
+    return copies.select("group_key", "track_id").distinct().join(best, "group_key").select("group_key", "track_id", F.when(F.col("track_id") == F.col("best_id"), "keep").otherwise("delete").alias("proposal"))

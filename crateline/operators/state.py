@@ -83,3 +83,83 @@ def fetched_cleared(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         return rows.select("id", F.lit(None).cast("bigint").alias("fetched_at"))
     m = ids.select("id").distinct().withColumn("m", F.lit(True))
     return rows.join(m, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("fetched_at")).alias("fetched_at"))
+
+
+def scan_by_path(stored: DataFrame, scanned: DataFrame, tags: list[str], properties: list[str], now: int) -> DataFrame:
+    """A scan merged by path: rows (id, path, tags, properties, user_edited, fetched_at, status).
+
+    stored: (id, path, fingerprint, user_edited, fetched_at, tags, properties, on_disk); scanned: (path, fingerprint, tags,
+    properties), one row for each path. A scanned file updates the row of its path ('updated'), otherwise the only stored row
+    of its fingerprint whose file is gone ('moved'), otherwise it is added ('added', id null). Properties are always
+    refreshed, tags unless the user edited the row. A new row whose album, genre and year are known is stamped as fetched.
+    Of several new files that could be one moved row the least path is it. Stored rows that no file touches are 'kept'.
+    """
+    n = scanned.select(F.col("path").alias("n_path"), F.col("fingerprint").alias("n_fp"), *[F.col(c).alias("n_" + c) for c in tags + properties])
+    by_path = n.join(stored.select(F.col("path").alias("n_path"), F.col("id").alias("by_path")), "n_path", "left")
+    orphans = stored.filter(~F.col("on_disk") & F.col("fingerprint").isNotNull()).groupBy(F.col("fingerprint").alias("n_fp")).agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("orphan")).filter("m = 1")
+    strangers = by_path.filter("by_path is null").join(orphans.select("n_fp", "orphan"), "n_fp").groupBy("orphan").agg(F.min("n_path").alias("n_path"))
+    matched = by_path.join(strangers, "n_path", "left").withColumn("id", F.coalesce("by_path", "orphan"))
+    status = F.when(F.col("by_path").isNotNull(), "updated").when(F.col("orphan").isNotNull(), "moved").otherwise("added")
+    matched = matched.withColumn("status", status)
+    s = stored.select("id", F.col("path").alias("s_path"), "user_edited", F.col("fetched_at").alias("s_fetched"), *[F.col(c).alias("s_" + c) for c in tags + properties])
+    j = matched.filter("id is not null").join(s, "id", "full_outer").unionByName(matched.filter("id is null"), allowMissingColumns=True)
+    new, edited = F.col("status").isNotNull(), F.coalesce("user_edited", F.lit(False))
+    out_tags = [F.when(new & ~edited, F.col("n_" + c)).otherwise(F.col("s_" + c)).alias(c) for c in tags]
+    out_props = [F.when(new, F.col("n_" + c)).otherwise(F.col("s_" + c)).alias(c) for c in properties]
+    complete = filled(F.col("n_album")).isNotNull() & filled(F.col("n_genre")).isNotNull() & F.col("n_year").isNotNull()
+    fetched = F.when(F.col("status") == "added", F.when(complete, F.lit(now))).otherwise(F.col("s_fetched"))
+    return j.select("id", F.coalesce("n_path", "s_path").alias("path"), *out_tags, *out_props, edited.alias("user_edited"), fetched.cast("bigint").alias("fetched_at"), F.coalesce("status", F.lit("kept")).alias("status"))
+
+
+def tallied(merged: DataFrame, failures: DataFrame) -> DataFrame:
+    """(status, n) of a merge (status) and of the files that failed (path, error)."""
+    return merged.groupBy("status").agg(F.count(F.lit(1)).alias("n")).unionByName(failures.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit("failed").alias("status"), "n"))
+
+
+def tags_updated(rows: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (id, columns, user_edited) with the values a user typed (id, columns); they are marked as edited."""
+    c = changes.select("id", *[F.col(x).alias("c_" + x) for x in columns], F.lit(True).alias("c"))
+    j = rows.join(c, "id", "left")
+    return j.select("id", *[F.when(F.col("c"), F.col("c_" + x)).otherwise(F.col(x)).alias(x) for x in columns], (F.coalesce("c", F.lit(False)) | F.coalesce("user_edited", F.lit(False))).alias("user_edited"))
+
+
+def edits_cleared(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with ``user_edited`` taken back for the ids (id), so that the next scan refreshes their tags."""
+    m = ids.select("id").distinct().withColumn("m", F.lit(True))
+    return rows.join(m, "id", "left").withColumn("user_edited", F.when(F.col("m"), F.lit(False)).otherwise(F.coalesce("user_edited", F.lit(False)))).drop("m")
+
+
+GRID = ["bpm", "beat_offset_ms", "first_beat_number"]
+
+
+def grid_set(rows: DataFrame, manual: DataFrame) -> DataFrame:
+    """Analyses with grids set by hand (track_id, GRID): the first edit keeps the detected one in ``auto_*``, later ones don't."""
+    m = manual.select("track_id", *[F.col(c).alias("m_" + c) for c in GRID], F.lit(True).alias("m"))
+    j = rows.join(m, "track_id", "left")
+    by_hand, set_now = F.coalesce("grid_edited", F.lit(False)), F.col("m").isNotNull()
+    auto = [F.when(set_now & ~by_hand, F.col(c)).otherwise(F.col("auto_" + c)).alias("auto_" + c) for c in GRID]
+    return j.select("track_id", *[F.when(set_now, F.col("m_" + c)).otherwise(F.col(c)).alias(c) for c in GRID], *auto, (by_hand | set_now).alias("grid_edited"))
+
+
+def grid_reset(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Analyses with the detected grid brought back for the ids (track_id); ``was_reset`` says where one was edited."""
+    m = ids.select("track_id").distinct().withColumn("m", F.lit(True))
+    j = rows.join(m, "track_id", "left")
+    back = F.coalesce(F.col("m") & F.col("grid_edited"), F.lit(False))
+    value = lambda c: F.coalesce("auto_bpm", "bpm") if c == "bpm" else F.col("auto_" + c)
+    return j.select("track_id", *[F.when(back, value(c)).otherwise(F.col(c)).alias(c) for c in GRID], *[F.when(~back, F.col("auto_" + c)).alias("auto_" + c) for c in GRID], (F.coalesce("grid_edited", F.lit(False)) & ~back).alias("grid_edited"), back.alias("was_reset"))
+
+
+def source_relinks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, new_path, verdict) of new files for tracks (id, new_path): 'unknown' id, 'taken' path of another row, else 'ok'."""
+    have = rows.select("id", F.lit(True).alias("known"))
+    holders = rows.filter("path is not null").groupBy(F.col("path").alias("new_path")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    j = wanted.select("id", "new_path").join(have, "id", "left").join(holders, "new_path", "left")
+    taken = F.col("low").isNotNull() & ((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")))
+    return j.select("id", "new_path", F.when(taken, "taken").when(F.col("known").isNull(), "unknown").otherwise("ok").alias("verdict"))
+
+
+def deleted(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables {name: (rows, column of the track's id)} without the rows of the deleted tracks (id)."""
+    gone = ids.select("id").distinct()
+    return {name: rows.join(gone.withColumnRenamed("id", column), column, "left_anti") for name, (rows, column) in tables.items()}

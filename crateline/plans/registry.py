@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 
 
 #: The modules whose queries are registered when they are imported.
-MODULES = ["queries", "scalars", "library", "records"]
+MODULES = ["queries", "scalars", "library", "records", "lists", "signals"]
 
 
 def load() -> None:
