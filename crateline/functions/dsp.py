@@ -17,6 +17,18 @@ from .keys import MAJOR_PROFILE, MINOR_PROFILE, MINOR_WEIGHT
 # Fixed values of the analysis: frame and hop of the spectrogram, seconds looked at, tempo range and its prior.
 FRAME, HOP, HEAD_S = 4096, 512, 150
 BPM_LOW, BPM_HIGH, BPM_PRIOR, BPM_SPREAD = 70.0, 185.0, 125.0, 0.65
+HARMONICS, FINE, FINE_STEPS, RELATIVES, MARGIN = 4, 0.035, 321, (5 / 4, 4 / 3, 3 / 2, 2), 1.05
+# Fixed values of the anchor: block and hop in samples, the kick's band and the weight of all, search step and least lift.
+SNAP_BLOCK, SNAP_HOP, SNAP_HZ, SNAP_ALL, SNAP_STEP_MS, SNAP_LIFT = 256, 64, 200.0, 0.35, 0.5, 1.25
+# Fixed values of bars: beats, bands of claps and of harmony with their weights.
+BAR, CLAP_HZ, HARMONY_HZ, CLAP_WEIGHT, CHANGE_WEIGHT = 4, (2000.0, 8000.0), (150.0, 2000.0), 1.0, 0.5
+# The two stages of the public loudness weighting at 48 kHz (b and a of each).
+SHELF = ((1.53512485958697, -2.69169618940638, 1.19839281085285), (1.0, -1.69065929318241, 0.73248077421585))
+HIGH_PASS = ((1.0, -2.0, 1.0), (1.0, -1.99004745483398, 0.99007225036621))
+# Fixed values of the coloured previews: stretches a second and how many, bands, the loudness range, what counts as in use.
+COLOURS_A_SECOND, COLOUR_BINS, BAND_HZ, LOUD_DB, IN_USE_DB, IN_USE_HZ = 20.0, (400, 24_000), (120.0, 2000.0), 45.0, 60.0, (30.0, 15_000.0)
+FINES_A_SECOND, SHARP_RADIUS, SHARP_AMOUNTS = 2000.0, 6, (1.15, 0.85, 0.85)
+DECODED_S = 20 * 60
 PITCH_LOW, PITCH_HIGH = 90.0, 4000.0
 PRINT_LOW, PRINT_HIGH, PRINT_RATE = 55.0, 5000.0, 8.0
 
@@ -44,58 +56,276 @@ def onsets(spec: np.ndarray) -> np.ndarray:
     return np.maximum(flux - moving_mean(flux, 16), 0)
 
 
-def tempo(envelope: np.ndarray, rate: float) -> tuple[float | None, float]:
-    """(bpm, confidence) of an onset envelope with ``rate`` frames a second."""
-    if len(envelope) < 64 or not envelope.any():
-        return None, 0.0
-    x = envelope - envelope.mean()
-    low, high = max(1, int(rate * 60 / BPM_HIGH)), int(np.ceil(rate * 60 / BPM_LOW))
+def autocorrelation(x: np.ndarray) -> np.ndarray:
+    """Mean-removed, 1 at lag 0; zeros for silence."""
+    x = x - x.mean()
     n = 1 << (2 * len(x) - 1).bit_length()
     f = np.fft.rfft(x, n)
     acf = np.fft.irfft(f * np.conj(f), n)[: len(x)]
-    acf = acf / max(acf[0], 1e-12)
-
-    def value(lag: np.ndarray) -> np.ndarray:
-        return np.interp(lag, np.arange(len(acf)), acf, right=0.0)
-
-    def comb(bpm: np.ndarray) -> np.ndarray:
-        lag = rate * 60 / bpm
-        return sum(value(k * lag) / k for k in range(1, 5)) * np.exp(-0.5 * (np.log2(bpm / BPM_PRIOR) / BPM_SPREAD) ** 2)
-
-    grid = rate * 60 / np.arange(low, high + 1)
-    scores = comb(grid)
-    at = int(scores.argmax())
-    fine = grid[at] * np.linspace(0.965, 1.035, 321)
-    fine_scores = np.array([_pulse(envelope, rate * 60 / b) for b in fine])
-    bpm = float(fine[int(fine_scores.argmax())])
-    # a ratio of metres must beat the first choice clearly
-    best, best_score = bpm, 1.05 * float(comb(np.array([bpm]))[0])
-    for ratio in (5 / 4, 4 / 3, 3 / 2, 2):
-        for other in (bpm * ratio, bpm / ratio):
-            if BPM_LOW <= other <= BPM_HIGH and (s := float(comb(np.array([other]))[0])) > best_score:
-                best, best_score = other, s
-    positive = scores[scores > 0]
-    confidence = 1 - float(np.median(positive)) / float(scores.max()) if len(positive) else 0.0
-    return round(best, 2), confidence
+    return acf / acf[0] if acf[0] > 1e-12 else np.zeros(len(x))
+
 
+def prior(bpm: np.ndarray | float) -> np.ndarray | float:
+    """How likely a tempo is before anything is heard."""
+    return np.exp(-0.5 * (np.log2(np.asarray(bpm) / BPM_PRIOR) / BPM_SPREAD) ** 2)
 
-def _pulse(envelope: np.ndarray, period: float) -> float:
-    """Largest mean of the envelope at a pulse of this period over all phases."""
+
+def comb(acf: np.ndarray, lags: np.ndarray) -> np.ndarray:
+    """The autocorrelation at each lag and its first multiples, each multiple counting less."""
+    k = np.arange(1, HARMONICS + 1)
+    at = lags[:, None] * k
+    return np.where(at < len(acf), acf[np.minimum(at, len(acf) - 1)] / k, 0.0).sum(axis=1)
+
+
+def parabolic(y: np.ndarray, at: int) -> float:
+    """Where the parabola through a peak and its neighbours has its top, within one step; the peak itself at the edges."""
+    if not 0 < at < len(y) - 1:
+        return float(at)
+    bend = y[at - 1] - 2 * y[at] + y[at + 1]
+    return at + (float(np.clip(0.5 * (y[at - 1] - y[at + 1]) / bend, -1, 1)) if abs(bend) > 1e-9 else 0.0)
+
+
+def pulse(envelope: np.ndarray, period: float, step: float = 1.0) -> tuple[float, float]:
+    """(phase, mean of the envelope there) of the pulse of this period that fits best."""
     n = int(len(envelope) / period)
     if n < 4:
-        return 0.0
-    phase = np.arange(0, period, 1.0)
-    at = (phase[:, None] + np.arange(n)[None, :] * period).astype(int)
-    return float(envelope[np.minimum(at, len(envelope) - 1)].mean(axis=1).max())
+        return 0.0, 0.0
+    phase = np.arange(0, period, step)
+    at = phase[:, None] + np.arange(n)[None, :] * period
+    low = np.minimum(at.astype(int), len(envelope) - 2)
+    part = at - low
+    means = (envelope[low] * (1 - part) + envelope[low + 1] * part).mean(axis=1)
+    best = int(means.argmax())
+    return float(phase[best]), float(means[best])
+
+
+def refined(envelope: np.ndarray, rate: float, bpm: float) -> tuple[float, float, float]:
+    """(bpm, phase in frames, energy) of the best pulse near a tempo, within the range of tempi."""
+    near = np.linspace(max(bpm * (1 - FINE), BPM_LOW), min(bpm * (1 + FINE), BPM_HIGH), FINE_STEPS)
+    energies = [pulse(envelope, rate * 60 / b)[1] for b in near]
+    best = float(near[int(np.argmax(energies))])
+    return best, *pulse(envelope, rate * 60 / best, 0.25)
+
+
+def tempo_lock(envelope: np.ndarray, rate: float) -> tuple[float | None, float, float]:
+    """(bpm, phase in frames, confidence) of an onset envelope with ``rate`` frames a second."""
+    if len(envelope) < 64 or not envelope.any():
+        return None, 0.0, 0.0
+    acf = autocorrelation(envelope)
+    lags = np.arange(max(1, int(rate * 60 / BPM_HIGH)), min(int(np.ceil(rate * 60 / BPM_LOW)), len(acf) - 1) + 1)
+    scores = comb(acf, lags) * prior(rate * 60 / lags)
+    top = parabolic(scores, int(scores.argmax())) + lags[0]
+    bpm, phase, energy = refined(envelope, rate, rate * 60 / top)
+    # a faster metrical relative must beat this first lock clearly
+    least = best = energy * float(prior(bpm))
+    chosen = (bpm, phase)
+    for ratio in RELATIVES:
+        if BPM_LOW <= bpm * ratio <= BPM_HIGH:
+            other, at, loud = refined(envelope, rate, bpm * ratio)
+            score = loud * float(prior(other))
+            if score > MARGIN * least and score > best:
+                chosen, best = (other, at), score
+    positive = scores[scores > 0]
+    confidence = 1 - float(np.median(positive)) / float(scores.max()) if len(positive) else 0.0
+    return round(chosen[0], 2), chosen[1], confidence
+
+
+def tempo(envelope: np.ndarray, rate: float) -> tuple[float | None, float]:
+    """(bpm, confidence) of an onset envelope with ``rate`` frames a second."""
+    bpm, _, confidence = tempo_lock(envelope, rate)
+    return bpm, confidence
+
+
+def one_pole(x: np.ndarray, hz: float, sample_rate: int) -> np.ndarray:
+    """A low-pass of one pole, run in blocks: each block is a weighted sum of itself and of what the last one left."""
+    a = 1 - np.exp(-2 * np.pi * hz / sample_rate)
+    block = 256
+    decay = (1 - a) ** np.arange(block + 1)
+    kernel = np.tril(a * decay[np.abs(np.arange(block)[:, None] - np.arange(block)[None, :])])
+    padded = np.zeros(-(-len(x) // block) * block)
+    padded[: len(x)] = x
+    parts = padded.reshape(-1, block) @ kernel.T
+    ends, state = np.empty(len(parts)), 0.0
+    for i, last in enumerate(parts[:, -1]):
+        ends[i] = state
+        state = last + state * decay[block]
+    return (parts + ends[:, None] * decay[1:][None, :]).reshape(-1)[: len(x)]
+
+
+def attack_flux(x: np.ndarray, sample_rate: int) -> np.ndarray:
+    """Rises of short blocks' level, of the kick's band and of all, each by its own mean."""
+
+    def rises(y: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(y.astype(np.float64) ** 2)])
+        starts = np.arange(0, len(y) - SNAP_BLOCK + 1, SNAP_HOP)
+        level = np.sqrt(np.maximum(sums[starts + SNAP_BLOCK] - sums[starts], 0) / SNAP_BLOCK)
+        up = np.concatenate([[0.0], np.maximum(np.diff(level), 0)])
+        return up / up.mean() if up.any() else up
+
+    return rises(one_pole(x, SNAP_HZ, sample_rate)) + SNAP_ALL * rises(x)
+
+
+def snapped(x: np.ndarray, sample_rate: int, bpm: float, anchor: float) -> float:
+    """The anchor (ms) moved by at most half a beat onto the attacks, where they stand out; otherwise as it was."""
+    if bpm <= 0 or len(x) < 4 * SNAP_BLOCK:
+        return anchor
+    flux = attack_flux(x, sample_rate)
+    if len(flux) < 8:
+        return anchor
+    step = SNAP_HOP / sample_rate * 1000
+    zero = (SNAP_BLOCK - SNAP_HOP) / 2 / sample_rate * 1000
+    period = 60_000 / bpm
+    half = max(round(period / SNAP_STEP_MS), 1) // 2
+    offsets = anchor + np.arange(-half, half + 1) * SNAP_STEP_MS
+    span = len(flux) * step + zero
+    times = (offsets % period)[:, None] + np.arange(int(span / period) + 1)[None, :] * period
+    inside = times < span
+    values = np.interp((times - zero) / step, np.arange(len(flux)), flux, left=0.0, right=0.0)
+    scores = np.where(inside, values, 0).sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
+    best = int(scores.argmax())
+    if not scores[best] > SNAP_LIFT * scores.mean():
+        return anchor
+    found = float(offsets[best])
+    return found if found >= 0 else found + period
 
 
 def anchor_ms(envelope: np.ndarray, rate: float, bpm: float) -> float:
-    period = rate * 60 / bpm
-    n = int(len(envelope) / period)
-    phase = np.arange(0, period, 0.25)
-    at = np.minimum((phase[:, None] + np.arange(max(n, 1))[None, :] * period).astype(int), len(envelope) - 1)
-    best = float(phase[int(envelope[at].mean(axis=1).argmax())])
-    return best / rate * 1000 + FRAME / 2 / (rate * HOP) * 1000
+    phase, _ = pulse(envelope, rate * 60 / bpm, 0.25)
+    return phase / rate * 1000 + FRAME / 2 / (rate * HOP) * 1000
+
+
+def novelty(profiles: np.ndarray) -> np.ndarray:
+    """How much each row differs from the one before (sum of absolute differences); 0 for the first."""
+    return np.concatenate([[0.0], np.abs(np.diff(profiles, axis=0)).sum(axis=1)]) if len(profiles) else np.zeros(0)
+
+
+def downbeat_phase(spec: np.ndarray, sample_rate: int, bpm: float, first_ms: float) -> int:
+    """Index of the first beat that begins a bar of four: loud claps on its second and fourth beat, new harmony on its first.
+
+    Needs eight beats, otherwise 0; of equals the first.
+    """
+    if bpm <= 0 or not len(spec):
+        return 0
+    rate = sample_rate / HOP
+    beat = 60 / bpm * rate
+    if beat < 1:
+        return 0
+    starts = np.round((first_ms / 1000 * sample_rate - FRAME / 2) / HOP + np.arange(int(len(spec) / beat) + 2) * beat).astype(int)
+    number = np.arange(len(starts))
+    ok = (starts >= 0) & (starts < len(spec))
+    starts, number = starts[ok], number[ok]
+    if len(starts) < 2 * BAR:
+        return 0
+    bins = lambda lo, hi: slice(round(lo * FRAME / sample_rate), min(round(hi * FRAME / sample_rate), spec.shape[1] - 1) + 1)
+    width = max(int(beat / 2), 1)
+    means = np.stack([spec[f : f + width].mean(axis=0) for f in starts])
+    claps = means[:, bins(*CLAP_HZ)].sum(axis=1)
+    change = novelty(means[:, bins(*HARMONY_HZ)])
+    clap_mean, change_mean = max(claps.mean(), 1e-7), max(change.mean(), 1e-7)
+
+    def at(values: np.ndarray, phase: int, places: tuple[int, ...]) -> float:
+        here = np.isin((number - phase) % BAR, places)
+        return float(values[here].mean()) if here.any() else 0.0
+
+    scores = [CLAP_WEIGHT * (at(claps, p, (1, 3)) - at(claps, p, (0, 2))) / clap_mean + CHANGE_WEIGHT * (at(change, p, (0,)) - change_mean) / change_mean for p in range(BAR)]
+    return int(np.argmax(scores))
+
+
+def biquad_power(w: np.ndarray, b: tuple[float, ...], a: tuple[float, ...]) -> np.ndarray:
+    """Squared magnitude of a second-order filter at angular frequencies."""
+    z = np.exp(-1j * w)
+    return np.abs(np.polyval(b[::-1], z)) ** 2 / np.maximum(np.abs(np.polyval(a[::-1], z)) ** 2, 1e-12)
+
+
+def loudness_weights(bins: int = FRAME // 2 + 1) -> np.ndarray:
+    """Power gain of each bin by how loud an ear finds it: a high shelf times a high-pass."""
+    w = np.pi * np.arange(bins) / (bins - 1)
+    return biquad_power(w, *SHELF) * biquad_power(w, *HIGH_PASS)
+
+
+def frames_of(x: np.ndarray, chunk: int = 256):
+    """Magnitudes of all frames of a signal, ``chunk`` at a time, so that a long one needs little memory."""
+    if len(x) < FRAME:
+        return
+    window = np.sin(np.pi * np.arange(FRAME) / (FRAME - 1)) ** 2
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    for i in range(0, len(frames), chunk):
+        yield i, np.abs(np.fft.rfft(frames[i : i + chunk] * window))
+
+
+def colour_bands(x: np.ndarray, sample_rate: int) -> np.ndarray:
+    """(bins, 4) bytes: level of the low, middle and high band and the energy of each stretch of the whole signal.
+
+    About 20 stretches a second. Levels are square roots of the share of the loudest; energy is the weighted loudness over
+    45 dB times how much of the spectrum is in use. Two passes: the second needs the loudest bin of the first.
+    """
+    total = max((len(x) - FRAME) // HOP + 1, 0)
+    bins = min(int(np.clip(round(len(x) / sample_rate * COLOURS_A_SECOND), *COLOUR_BINS)), max(total, 1))
+    if not total:
+        return np.zeros((bins, 4), dtype=np.uint8)
+    gain = loudness_weights()
+    at = lambda hz: min(round(hz * FRAME / sample_rate), FRAME // 2 + 1)
+    low, mid = at(BAND_HZ[0]), max(at(BAND_HZ[1]), at(BAND_HZ[0]))
+    lo = int(np.clip(at(IN_USE_HZ[0]), 1, FRAME // 2))
+    hi = int(np.clip(at(IN_USE_HZ[1]), lo + 1, FRAME // 2 + 1))
+    place = np.minimum((np.arange(total) * HOP + FRAME // 2) * bins // len(x), bins - 1)
+    count = np.maximum(np.bincount(place, minlength=bins), 1)
+    sums = np.zeros((4, bins))
+    top = 0.0
+    for i, m in frames_of(x):
+        p = m**2
+        here = place[i : i + len(p)]
+        for k, v in enumerate((p[:, :low].sum(axis=1), p[:, low:mid].sum(axis=1), p[:, mid:].sum(axis=1), p @ gain)):
+            sums[k] += np.bincount(here, v, minlength=bins)
+        top = max(top, float(p[:, lo:hi].max()))
+    used = np.zeros(bins)
+    for i, m in frames_of(x):
+        used += np.bincount(place[i : i + len(m)], (m[:, lo:hi] ** 2 > top * 10 ** (-IN_USE_DB / 10)).mean(axis=1), minlength=bins)
+    sums, used = sums / count, used / count
+    level = np.sqrt(np.maximum(sums[:3], 0))
+    db = 10 * np.log10(np.maximum(sums[3], 1e-12))
+    loud = np.clip((db - db.max() + LOUD_DB) / LOUD_DB, 0, 1)
+    energy = loud**0.4 * (used / max(used.max(), 1e-9)) ** 0.2
+    shown = np.sqrt(np.clip(level / max(level.max(), 1e-12), 0, 1))
+    return np.round(np.concatenate([shown, [np.clip(energy / max(energy.max(), 1e-9), 0, 1)]]).T * 255).astype(np.uint8)
+
+
+def sharpened(x: np.ndarray, radius: int, amount: float) -> np.ndarray:
+    """Raised above the local mean and lowered below it, not below 0."""
+    return np.maximum(x + amount * (x - moving_mean(x, radius)), 0) if len(x) else x
+
+
+def fine_bands(x: np.ndarray, sample_rate: int) -> np.ndarray:
+    """(bins, 4) bytes of 2000 stretches a second: sharpened peaks of three bands and the level of each."""
+    if not len(x):
+        return np.zeros((0, 4), dtype=np.uint8)
+    bins = min(max(int(np.ceil(len(x) / sample_rate * FINES_A_SECOND)), 1), len(x))
+    low_hz = float(np.clip(BAND_HZ[0], 20, sample_rate / 2))
+    low = one_pole(x, low_hz, sample_rate)
+    below = one_pole(x, float(np.clip(BAND_HZ[1], low_hz, sample_rate / 2)), sample_rate)
+    edges = -(-np.arange(bins) * len(x) // bins)
+    peaks = [np.maximum.reduceat(np.abs(y), edges) for y in (low, below - low, x - below)]
+    count = np.diff(np.append(edges, len(x)))
+    level = np.sqrt(np.add.reduceat(x.astype(np.float64) ** 2, edges) / count)
+    shown = [sharpened(p, SHARP_RADIUS, a) for p, a in zip(peaks, SHARP_AMOUNTS, strict=True)] + [level]
+    return (np.sqrt(np.clip(np.stack(shown, axis=1), 0, 1)) * 255).astype(np.uint8)
+
+
+def follower(x: np.ndarray, attack: float, release: float) -> np.ndarray:
+    """Each value moves from the last one towards the input, fast up and slow down; it begins at the first input."""
+    out = np.array(x, dtype=np.float64)
+    for i in range(1, len(out)):
+        out[i] = out[i - 1] + (attack if x[i] >= out[i - 1] else release) * (x[i] - out[i - 1])
+    return out
+
+
+def content_hash(x: np.ndarray) -> str:
+    """16 hex digits of the length and of every 997th sample: the sound's identity, whatever its tags."""
+    import hashlib
+
+    h = hashlib.blake2b(len(x).to_bytes(8, "little"), digest_size=8)
+    h.update(np.ascontiguousarray(x[::997], dtype="<f4").tobytes())
+    return h.hexdigest()
 
 
 def chroma(spec: np.ndarray, sample_rate: int) -> np.ndarray:
@@ -207,41 +437,76 @@ def preview(x: np.ndarray, bins: int = 400) -> list[int]:
 
 ANALYSIS = T.StructType(
     [
-        T.StructField("track_id", T.LongType()), T.StructField("bpm", T.DoubleType()), T.StructField("key_tonic", T.IntegerType()), T.StructField("key_mode", T.IntegerType()), T.StructField("beat_offset_ms", T.LongType()),
-        T.StructField("peak", T.DoubleType()), T.StructField("loudness", T.DoubleType()), T.StructField("lowpass_hz", T.DoubleType()), T.StructField("lowpass_edge", T.DoubleType()), T.StructField("audio_fingerprint", T.ArrayType(T.LongType())), T.StructField("error", T.StringType()),
+        T.StructField("track_id", T.LongType()), T.StructField("bpm", T.DoubleType()), T.StructField("key_tonic", T.IntegerType()), T.StructField("key_mode", T.IntegerType()), T.StructField("beat_offset_ms", T.LongType()), T.StructField("first_beat_number", T.IntegerType()),
+        T.StructField("peak", T.DoubleType()), T.StructField("loudness", T.DoubleType()), T.StructField("lowpass_hz", T.DoubleType()), T.StructField("lowpass_edge", T.DoubleType()), T.StructField("audio_fingerprint", T.ArrayType(T.LongType())),
+        T.StructField("waveform", T.BinaryType()), T.StructField("waveform_bands", T.BinaryType()), T.StructField("content_hash", T.StringType()), T.StructField("error", T.StringType()),
     ]
 )
 
 
 def analysed(x: np.ndarray, sample_rate: int) -> dict:
-    spec = spectrogram(x[: HEAD_S * sample_rate])
+    """All that is known of a sound: its head gives tempo, key, quality and print, the whole of it levels and previews."""
+    x = x[: DECODED_S * sample_rate]
+    head = x[: HEAD_S * sample_rate]
+    spec = spectrogram(head)
     rate = sample_rate / HOP
-    env = onsets(spec)
-    bpm, _ = tempo(env, rate)
+    bpm, phase, _ = tempo_lock(onsets(spec), rate)
     key = key_of(chroma(spec, sample_rate))
     cut_hz, edge = low_pass(spec, sample_rate)
     peak, loud = levels(x)
+    first = at = None
+    if bpm:
+        at = snapped(head, sample_rate, bpm, (phase * HOP + FRAME / 2) / sample_rate * 1000)
+        first = (BAR - downbeat_phase(spec, sample_rate, bpm, at)) % BAR + 1
     return {
-        "bpm": bpm, "key_tonic": key[0] if key else None, "key_mode": int(key[1]) if key else None, "beat_offset_ms": round(anchor_ms(env, rate, bpm)) if bpm else None,
-        "peak": peak, "loudness": loud, "lowpass_hz": cut_hz, "lowpass_edge": edge, "audio_fingerprint": fingerprint(spec, sample_rate).tolist(), "error": None,
+        "bpm": bpm, "key_tonic": key[0] if key else None, "key_mode": int(key[1]) if key else None, "beat_offset_ms": round(at) if at is not None else None, "first_beat_number": first,
+        "peak": peak, "loudness": loud, "lowpass_hz": cut_hz, "lowpass_edge": edge, "audio_fingerprint": fingerprint(spec, sample_rate).tolist(),
+        "waveform": bytes(preview(x)), "waveform_bands": colour_bands(x, sample_rate).tobytes(), "content_hash": content_hash(x), "error": None,
     }
 
 
+def _rows(found: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(found, columns=ANALYSIS.fieldNames())
+    for c in ("key_tonic", "key_mode", "first_beat_number"):
+        out[c] = out[c].astype("Int32")
+    out["beat_offset_ms"] = out["beat_offset_ms"].astype("Int64")
+    return out
+
+
 def analyse(audio: DataFrame) -> DataFrame:
-    """Analysis rows of (track_id, sample_rate, samples array<float>); a track that fails has its error and nulls."""
+    """Analysis rows of (track_id, sample_rate, samples array<float>); a track that fails has its error and nulls.
+
+    For samples that are made in the query. Long sounds are better decoded where they are analysed (:func:`analyse_files`);
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds what a worker gets at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for i, rate, s in zip(b["track_id"], b["sample_rate"], b["samples"], strict=True):
                 try:
-                    rows.append({"track_id": i, **analysed(np.asarray(s, dtype=np.float32), int(rate))})
+                    found = {"track_id": i, **analysed(np.asarray(s, dtype=np.float32), int(rate))}
                 except Exception as e:  # one bad file must not end the job
-                    rows.append({"track_id": i, "error": str(e)})
-            out = pd.DataFrame(rows, columns=ANALYSIS.fieldNames())
-            for c in ("key_tonic", "key_mode"):
-                out[c] = out[c].astype("Int32")
-            out["beat_offset_ms"] = out["beat_offset_ms"].astype("Int64")
-            yield out
+                    found = {"track_id": i, "error": str(e)}
+                yield _rows([found])
 
     return audio.select("track_id", "sample_rate", "samples").mapInPandas(run, ANALYSIS)
+
+
+def analyse_files(files: DataFrame) -> DataFrame:
+    """Analysis rows of (track_id, path): each task opens its files one after the other, so it holds one sound at a time.
+
+    Paths are local ones or in a file system mounted on the executors; a file that can't be read has its error and nulls.
+    """
+    from ..sources.files import decoded
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, path in zip(b["track_id"], b["path"], strict=True):
+                try:
+                    rate, x = decoded(path)
+                    found = {"track_id": i, **analysed(x.mean(axis=1), rate)}
+                except Exception as e:
+                    found = {"track_id": i, "error": str(e) or type(e).__name__}
+                yield _rows([found])
+
+    return files.select("track_id", "path").mapInPandas(run, ANALYSIS)

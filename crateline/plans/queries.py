@@ -502,20 +502,31 @@ def mapinpandas_features(s, d):
     return analyse(audio.repartition(16, "track_id")).select("track_id", "bpm", "peak", "loudness", "error")
 
 
-@query()
+def scans_folder(s, d, *columns):
+    """The scans as a folder of files, as they would arrive; and a folder for what becomes of them."""
+    import uuid
+
+    from ..session import shared_folder
+
+    folder = f"{shared_folder(s)}/scans-{uuid.uuid4().hex}"
+    src = tracks(s, d).select("id", *columns)
+    src.write.parquet(folder + "/in")
+    return folder, src.schema
+
+
+@query(f"WITH {T} SELECT id, src_size, src_mtime, discogs_meta_fetched_at, title FROM t")
 def stream_incremental_upsert(s, d):
     """The newest scan of each track from a stream over the scan files, run until all is processed."""
-    import tempfile
+    from ..streaming import rescan
+
+    folder, schema = scans_folder(s, d, "src_size", "src_mtime", "discogs_meta_fetched_at", "title")
+    return rescan.upserted(rescan.scan_stream(s, folder + "/in", schema), ["src_mtime", "discogs_meta_fetched_at", "src_size"], folder)
 
-    from ..session import ensure_checkpoint_dir
+
+@query("""SELECT added_at // 86400 * 86400 AS "from", format, count(*) AS n FROM tracks WHERE added_at IS NOT NULL GROUP BY 1, 2""")
+def stream_arrivals(s, d):
+    """Scans per day of arrival and format, counted from the stream; late rows are waited for ten years."""
     from ..streaming import rescan
 
-    ensure_checkpoint_dir(s)
-    base = s.sparkContext._jsc.sc().getCheckpointDir().get()
-    src = tracks(s, d).select("id", "src_size", "src_mtime", "discogs_meta_fetched_at", "title")
-    name = "scan_" + next(tempfile._get_candidate_names())
-    folder = f"{base}/{name}"
-    src.write.parquet(folder + "/in")
-    stream = rescan.scan_stream(s, folder + "/in", src.schema)
-    rescan.run_once(rescan.newest_by_id(stream, ["src_mtime", "discogs_meta_fetched_at", "src_size"]), folder + "/state", name)
-    return s.table(name)
+    folder, schema = scans_folder(s, d, "added_at", "format")
+    return rescan.counted(rescan.arrivals(rescan.scan_stream(s, folder + "/in", schema), "added_at", late="3650 days"), folder)

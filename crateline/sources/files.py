@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import io
+import os
 import struct
-import wave
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import extension, format_of
 
@@ -21,13 +22,22 @@ TAIL = 256 * 1024
 
 
 def listing(spark: SparkSession, folder: str, extensions: list[str] = AUDIO, with_content: bool = False) -> DataFrame:
-    """(path, length, mtime, format[, fingerprint]) of all files below a folder with one of the extensions."""
+    """(path, length, mtime, format[, fingerprint]) of all files below a folder with one of the extensions, by path.
+
+    Only the folder is read, unless a content mark is asked for: then each task opens its files and reads their ends.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    own = files.filter(extension(F.col("path")).isin(extensions))
-    cols = [F.col("path"), F.col("length"), F.unix_timestamp(F.col("modificationTime")).alias("mtime"), format_of(F.col("path")).alias("format")]
-    if with_content:
-        cols.append(F.substring(F.sha2(F.expr(f"substring(content, -{TAIL}, {TAIL})"), 256), 1, 16).alias("fingerprint"))
-    return own.select(*cols)
+    own = files.filter(extension(F.col("path")).isin(extensions)).select("path", "length", F.unix_timestamp(F.col("modificationTime")).alias("mtime"), format_of(F.col("path")).alias("format"))
+    if not with_content:
+        return own.orderBy("path")
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .audio import content_mark
+
+        for b in batches:
+            yield b.assign(fingerprint=[content_mark(p.removeprefix("file://").removeprefix("file:"), None) for p in b["path"]])
+
+    return own.mapInPandas(marks, "path string, length bigint, mtime bigint, format string, fingerprint string").orderBy("path")
 
 
 def changed(stored: DataFrame, listed: DataFrame) -> DataFrame:
@@ -36,33 +46,77 @@ def changed(stored: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.join(s, ["path", "length", "mtime"], "left_anti")
 
 
-def wav_audio(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sample_rate, samples, error): WAV files as mono floats, channels averaged."""
+def wav_audio(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """(path, sample_rate, samples, error): uncompressed files as mono floats, channels averaged, the first ``most`` frames.
+
+    Files are opened in the tasks, one at a time, and sent on one at a time.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for path, data in zip(b["path"], b["content"], strict=True):
+            for path in b["path"]:
                 try:
-                    with wave.open(io.BytesIO(data)) as w:
-                        n, ch, width = w.getnframes(), w.getnchannels(), w.getsampwidth()
-                        raw = w.readframes(n)
-                        if width == 3:
-                            x = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
-                            v = (x[:, 0].astype(np.int32) | x[:, 1].astype(np.int32) << 8 | x[:, 2].astype(np.int8).astype(np.int32) << 16) / float(1 << 23)
-                        elif width == 1:
-                            v = (np.frombuffer(raw, dtype=np.uint8).astype(np.float64) - 128) / 128
-                        else:
-                            v = np.frombuffer(raw, dtype=f"<i{width}") / float(1 << (8 * width - 1))
-                        rows.append((path, w.getframerate(), v.reshape(-1, ch).mean(axis=1).astype(np.float32), None))
-                except Exception as e:
-                    rows.append((path, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=["path", "sample_rate", "samples", "error"])
-            out["sample_rate"] = out["sample_rate"].astype("Int32")
-            yield out
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(folder)
-    return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, samples array<float>, error string")
+                    rate, x = decoded(path)
+                    row = (path, rate, x[:most].mean(axis=1), None)
+                except (ValueError, OSError, struct.error) as e:
+                    row = (path, None, None, str(e))
+                yield pd.DataFrame([row], columns=["path", "sample_rate", "samples", "error"]).astype({"sample_rate": "Int32"})
+
+    files = listing(spark, folder, ["wav", "aif", "aiff"])
+    return files.select("path").mapInPandas(run, "path string, sample_rate int, samples array<float>, error string")
+
+
+def decoded(path: str) -> tuple[int, np.ndarray]:
+    """(sample rate, (frames, channels) floats) of an uncompressed file."""
+    from .audio import decoded as read
+
+    return read(path.removeprefix("file://").removeprefix("file:"))
+
+
+# Fixed value: where a player's database lies on a volume.
+DEVICE_DATABASE = "PIONEER/rekordbox/export.pdb"
+
+
+def device_databases(volumes: list[str]) -> list[str]:
+    """The export databases of mounted volumes."""
+    return [p for v in volumes if os.path.isfile(p := os.path.join(v, DEVICE_DATABASE))]
+
+
+SEARCH = "pagination struct<page:int,pages:int,per_page:int,items:bigint>, results array<struct<id:bigint,type:string,title:string,year:string,label:array<string>,country:string,format:array<string>,thumb:string,cover_image:string>>"
+
+
+def search_answers(spark: SparkSession, path: str, most: int = 10) -> DataFrame:
+    """(source, release_id, title, year, label, country, format, thumb_url, cover_image_url, place): saved answers of a release
+    search as JSON files, the first ``most`` releases of each; other kinds of hits are left out."""
+    pages = spark.read.schema(SEARCH).option("multiLine", True).json(path).select(F.input_file_name().alias("source"), F.posexplode("results").alias("p", "r"))
+    kept = pages.filter((F.col("r.type") == "release") & F.col("r.id").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("p")))
+    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    return kept.filter(F.col("place") <= most).select(
+        "source", F.col("r.id").cast("string").alias("release_id"), "r.title", "r.year", first("r.label").alias("label"), "r.country", F.array_join("r.format", ", ").alias("format"), F.col("r.thumb").alias("thumb_url"), F.col("r.cover_image").alias("cover_image_url"), "place",
+    )
+
+
+def next_page(page: int | None, pages: int | None) -> int | None:
+    """The page to ask for after this one, None after the last."""
+    return page + 1 if page is not None and pages is not None and page < pages else None
+
+
+def retry_wait(attempt: int, retry_after: str | None = None, most: int = 3) -> float | None:
+    """Seconds to wait before asking again after being told to slow down, None when it was tried often enough."""
+    if attempt >= most:
+        return None
+    return float(retry_after) if retry_after and retry_after.strip().isdigit() else 2.0 * (attempt + 1)
+
+
+def settings(path: str | None, defaults: dict) -> dict:
+    """Settings of a TOML file over their defaults: unknown keys stay, a value of another type than its default is ignored."""
+    import tomllib
+
+    if path is None or not os.path.isfile(path):
+        return dict(defaults)
+    with open(path, "rb") as f:
+        read = tomllib.load(f)
+    return {**defaults, **{k: v for k, v in read.items() if k not in defaults or defaults[k] is None or isinstance(v, type(defaults[k]))}}
 
 
 RELEASE = "release_id string, title string, year int, released string, country string, genres array<string>, styles array<string>, label string, catalog_number string, tracklist array<struct<position:string,title:string,duration:string,type:string>>, videos array<struct<uri:string,title:string,duration:double,embed:boolean>>"
@@ -74,6 +128,22 @@ def release_documents(rows: DataFrame, least_version: int = 0) -> DataFrame:
     return whole.select("release_id", F.from_json("detail_json", RELEASE).alias("d"))
 
 
+class RowKind(NamedTuple):
+    """Where a row of an export table has its numbers, and its string: name, offset, whether that only says where it lies."""
+
+    name: str
+    numbers: dict[str, int]
+    string: tuple[str, int, bool] | None = None
+
+
+# The rows of the tables that are read, by the table's number.
+ROW_KINDS = {
+    0: RowKind("tracks", {"id": 0x48}, ("path", 0x86, True)),
+    7: RowKind("playlists", {"parent_id": 0, "position": 8, "id": 12, "is_folder": 16}, ("name", 20, False)),
+    8: RowKind("entries", {"position": 0, "track_id": 4, "playlist_id": 8}),
+}
+
+
 def device_export(data: bytes) -> dict[str, list[dict]]:
     """Tracks, playlists and entries of a device's export database (paged tables of packed rows).
 
@@ -124,23 +194,20 @@ def device_export(data: bytes) -> dict[str, list[dict]]:
                 return
             page = u32(base + 0x0C)
 
-    out: dict[str, list[dict]] = {"tracks": [], "playlists": [], "entries": []}
+    out: dict[str, list[dict]] = {k.name: [] for k in ROW_KINDS.values()}
     for t in range(tables):
-        kind, first, last = u32(0x1C + 16 * t), u32(0x24 + 16 * t), u32(0x28 + 16 * t)
-        if kind not in (0, 7, 8) or last is None:
+        kind, first, last = (u32(0x1C + 16 * t + k) for k in (0, 8, 12))
+        layout = ROW_KINDS.get(kind)
+        if layout is None or last is None:
             continue
         for at in rows(kind, first, last):
-            if kind == 0:
-                rel = u16(at + 0x86)
-                path = text(at + rel) if rel is not None else None
-                if path is not None:
-                    out["tracks"].append({"id": u32(at + 0x48), "path": path})
-            elif kind == 7:
-                name = text(at + 20)
-                if name is not None and u32(at + 16) is not None:
-                    out["playlists"].append({"id": u32(at + 12), "parent_id": u32(at), "position": u32(at + 8), "is_folder": u32(at + 16) != 0, "name": name})
-            elif u32(at + 8) is not None:
-                out["entries"].append({"playlist_id": u32(at + 8), "position": u32(at), "track_id": u32(at + 4)})
+            row = {f: u32(at + offset) for f, offset in layout.numbers.items()}
+            if layout.string:
+                name, offset, indirect = layout.string
+                step = u16(at + offset) if indirect else offset
+                row[name] = text(at + step) if step is not None else None
+            if None not in row.values():
+                out[layout.name].append({**row, "is_folder": row["is_folder"] != 0} if "is_folder" in row else row)
     return out
 
 
