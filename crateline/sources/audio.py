@@ -280,6 +280,8 @@ def scan(files: DataFrame) -> DataFrame:
                     out[c] = out[c].astype("Int32" if kind == "int" else "Int64")
                 elif kind == "boolean":
                     out[c] = out[c].astype("boolean")
+                else:
+                    out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out
 
     rows = files.select("path", "length", "mtime", "format").mapInPandas(run, SCAN)
