@@ -165,25 +165,28 @@ def load(path: str, pattern: str | None = None) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
-def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str, lists: bool):
+def _mapped(docs: DataFrame, kept: list[str], text_col: str, path: str, lists: bool):
+    """The columns ``kept`` of each row and its text's ids, or how many they are."""
+    out = "ids" if lists else "n_tokens"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
             lengths, flat = [], []
-            for t in b.column(1):
+            for t in b.column(len(kept)):
                 ids = bpe.encode(t.as_py() or "")
                 lengths.append(len(ids))
                 if lists:
                     flat += ids
             if lists:
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                second = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, dtype=np.int32)))
+                last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, dtype=np.int32)))
             else:
-                second = pa.array(np.array(lengths, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), second], [id_col, "ids" if lists else "n_tokens"])
+                last = pa.array(np.array(lengths, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(kept))), last], [*kept, out])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, " + ("ids array<int>" if lists else "n_tokens bigint"))
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, ", ".join([*kinds, "ids array<int>" if lists else "n_tokens bigint"]))
 
 
 def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -192,12 +195,12 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have an empty list. Rows are kept one for one, repeated rows included; other columns are ignored.
     A row is encoded on its own, so there is no shuffle except to spread a scan that has fewer splits than cores.
     """
-    return _mapped(spread(docs.select(id_col, text_col)), id_col, text_col, path or default_vocabulary(), True)
+    return _mapped(spread(docs.select(id_col, text_col)), [id_col], text_col, path or default_vocabulary(), True)
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(``id_col``, n_tokens): as :func:`encode_ids`, sizes only (0 for null and empty texts)."""
-    return _mapped(spread(docs.select(id_col, text_col)), id_col, text_col, path or default_vocabulary(), False)
+def count_tokens(docs: DataFrame, kept: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The columns ``kept`` of each row and ``n_tokens`` as :func:`encode_ids` finds them (0 for null and empty texts)."""
+    return _mapped(spread(docs.select(*kept, text_col)), kept, text_col, path or default_vocabulary(), False)
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -214,7 +217,7 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = No
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, text string")
 
 
-def id_summary(docs: DataFrame, by: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Documents, empty documents and tokens of each value of ``by`` (null is a group of its own)."""
-    sizes = docs.select(id_col, by).join(count_tokens(docs, id_col, text_col, path), id_col)
+def id_summary(docs: DataFrame, by: str, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Documents, empty documents and tokens of each value of ``by`` (null is a group of its own); each row counts."""
+    sizes = count_tokens(docs, [by], text_col, path)
     return sizes.groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(F.col("n_tokens") == 0, 1).otherwise(0)).cast("bigint").alias("empty_docs"), F.sum("n_tokens").alias("tokens"))

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .bpe import count_tokens
 
+#: Sources with a target (a few dozen bytes each) that are sent to the documents at most; more are joined by a shuffle.
+TARGETS_SENT = 10_000
 #: Documents that one part of the key range holds, about.
 PART_ROWS = 20_000
 
 
 def _sized(docs: DataFrame, seed: int, path: str | None) -> DataFrame:
     own = docs.filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull())
-    tokens = count_tokens(own, "doc_id", "text", path)
-    return own.select("doc_id", "source").dropDuplicates(["doc_id"]).join(tokens.dropDuplicates(["doc_id"]), "doc_id").filter("n_tokens > 0").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    one = count_tokens(own, ["doc_id", "source"], "text", path).groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
+    return one.select("doc_id", "d.source", "d.n_tokens").filter("n_tokens > 0").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +36,8 @@ def plan_mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     with a larger total a source gives all its permitted repeats and its row shows the shortfall.
 
     A document without tokens (null, empty) is never taken. Sources without targets are left out; targets without
-    documents get zero tokens. Null sources belong to no target. A repeated doc_id counts once; ties of the hash key are
-    ordered by doc_id. An empty corpus gives an empty mix.
+    documents get zero tokens. Null sources belong to no target. A repeated doc_id counts once, with its least source and
+    the fewest tokens there; ties of the hash key are ordered by doc_id. An empty corpus gives an empty mix.
     """
     sized = cut(_sized(docs, seed, path))
     goals = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -57,7 +59,9 @@ def plan_mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     parts = max(1, -(-most // PART_ROWS))
     # the top of the key's range, as 0 .. parts - 1
     part = F.least(F.floor((F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))) * parts), F.lit(parts - 1)).cast("int")
-    keyed = sized.join(F.broadcast(goals.select("source", "passes", "rest", "max_repeats")), "source").withColumn("part", part)
+    asked = goals.select("source", "passes", "rest", "max_repeats")
+    few = goals.count() <= TARGETS_SENT
+    keyed = sized.join(F.broadcast(asked) if few else asked, "source").withColumn("part", part)
     sums = keyed.groupBy("source", "part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = F.coalesce(F.sum("part_tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("source", "part", before.alias("offset"))

@@ -190,3 +190,71 @@ def test_names_of_frequent_words(spark):
     got = {frozenset((r.a.split("\t")[1], r.b.split("\t")[1])) for r in names.class_links(nodes).collect()}
     want = {frozenset(x) for x in [("robert smith", "bob smith"), ("robert smith", "r smith"), ("bob smith", "r smith")]}
     assert want <= got and not any("valentina smith" in x for x in got)
+
+
+def test_summary_counts_each_row(spark):
+    d = spark.createDataFrame([(1, "hello world", "a"), (1, "hello world", "a"), (2, "", "a"), (3, None, None)], "doc_id bigint, text string, source string")
+    got = {r.source: (r.docs, r.empty_docs, r.tokens) for r in bpe.id_summary(d, "source").collect()}
+    assert got == {"a": (3, 1, 4), None: (1, 1, 0)} and bpe.id_summary(d.limit(0), "source").count() == 0
+
+
+def test_blocks_of_the_list_rank_as_the_whole(spark):
+    st = spark.createDataFrame(list(enumerate(["House", "Haus", "Techno", "Tekno", "Velvet House"], 1)), "style_id int, style string")
+    v = spark.createDataFrame([("haus!",), ("tekno!",), ("velvet",), ("hous",), ("zzzzzz",), (None,)], "val string")
+    whole = {(r.val, r.style_id, r.distance) for r in styles.match_values(v, st).collect()}
+    for block in (1, 2, 3):
+        assert {(r.val, r.style_id, r.distance) for r in styles.match_values(v, st, block=block).collect()} == whole
+    assert {("haus!", 2, 0), ("tekno!", 4, 0)} <= whole
+
+
+def test_long_words_keep_their_evidence(spark):
+    rng = random.Random(6)
+    parts = ["jür", "señ", "grö", "fên", "té", "kü", "nô", "lav", "mor", "ßa", "ro", "dal"]
+    clean = ["".join(rng.choice(parts) for _ in range(3)) for _ in range(300)]
+    long = "".join(rng.choice(parts) for _ in range(120))
+    assert len(long) > 2 * mojibake.WINDOW
+    rows = [(i, w) for i, w in enumerate(clean)] + [(900, mojibake.garble(long, ("utf-8", "cp1252", 1))), (901, long)]
+    got = {r.id: r.restored for r in mojibake.garbled_cells(spark.createDataFrame(rows, "id bigint, title string"), "id", ["title"]).collect()}
+    assert got == {900: long}
+
+
+def test_matching_splits_hot_titles(spark, monkeypatch):
+    tr = [(i, f"Performer{i}kru Band{i % 7}", "Intro", 2000) for i in range(60)] + [(1000 + i, f"Artist{i}x", f"Song{i}word", 2000) for i in range(40)]
+    rc = [(str(i), f"Performer{i}kru Band{i % 7} - Intro", "2000") for i in range(60)] + [(str(1000 + i), f"Artist{i}x - Song{i}word", "2000") for i in range(40)] + [(str(2000 + i), f"Artist{i}x - Song{i}word", "1970") for i in range(40)]
+    t = spark.createDataFrame(tr, "id bigint, artist string, title string, year int")
+    c = spark.createDataFrame(rc, "release_id string, title string, year string")
+    rows = matching.described(t, c)
+    _, classes = matching.recording_classes(rows)
+    whole = {(r.t_cls, r.c_cls) for r in matching.candidate_pairs(classes).collect()}
+    monkeypatch.setattr(matching, "HOT_PAIRS", 10)
+    assert {(r.t_cls, r.c_cls) for r in matching.candidate_pairs(classes).collect()} == whole and len(whole) >= 100
+
+
+def test_mixture_is_monotone_and_transitive(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = np.vstack([np.clip(rng.normal(0.95, 0.04, (300, 4)), 0, 1), np.clip(rng.normal(0.4, 0.2, (700, 4)), 0, 1)])
+    g, model = matching.fit_mixture(x, np.ones(1000))
+    assert (g[:300] > 0.5).mean() > 0.98 and (g[300:] < 0.5).mean() > 0.98 and 0.2 < model["share"] < 0.4
+    best = matching.fit_mixture(np.vstack([x, np.ones((1, 4))]), np.ones(1001))[0]
+    assert best[-1] >= best[:-1].max() - 1e-9
+    pairs = [(1, 10, 0.99), (2, 10, 0.99), (2, 11, 0.99), (1, 11, 0.3), (3, 12, 0.6), (3, 13, 0.99), (4, 12, 0.99), (4, 13, 0.001)]
+    scored = spark.createDataFrame(pd.DataFrame(pairs, columns=["tc", "rc", "g"])).withColumn("cell", F.lit(0))
+    assert {(r.tc, r.rc): round(r.new, 2) for r in matching._transitive(scored).collect()} == {(1, 11): 0.99, (3, 12): 0.49}
+
+
+def test_truncation_by_added_ellipsis(spark):
+    full = [f"The {a} was pressed in {b} last year. Nobody remembers who paid for the {c} batch." for a in ("record", "tape", "single") for b in ("Hask", "Vellin", "Lurein") for c in ("first", "second", "third")]
+    cut_ = ["The record was pressed in Hask last ye...", "The tape was pressed in Vellin last year. Nobody remem…"]
+    whole = ["The record was pressed in Hask last year...", "The tape was pressed in Vellin last year…", "…", "..."]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(full * 2 + cut_ + whole)], "doc_id bigint, text string, source string")
+    n = 2 * len(full)
+    assert {r.doc_id for r in truncation.judged(d).filter("truncated").collect()} == {n, n + 1}
+
+
+def test_truncation_prefix_of_a_longer_copy(spark):
+    texts = ["zorvak melind prusted", "zorvak melind prusted quarnly over brel", "zorvak melind prus", "brel tanvo", "brel tanvo.", "dovin kess", "dovin kess\nNext Line"]
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(50, texts[0], None)], "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in truncation.judged(d).filter("reason = 'prefix'").collect()} == {0, 2, 50}
