@@ -258,3 +258,62 @@ def test_truncation_prefix_of_a_longer_copy(spark):
     texts = ["zorvak melind prusted", "zorvak melind prusted quarnly over brel", "zorvak melind prus", "brel tanvo", "brel tanvo.", "dovin kess", "dovin kess\nNext Line"]
     d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(50, texts[0], None)], "doc_id bigint, text string, source string")
     assert {r.doc_id for r in truncation.judged(d).filter("reason = 'prefix'").collect()} == {0, 2, 50}
+
+
+def test_short_forms_are_learnt(spark):
+    rng = random.Random(11)
+    made = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(5))
+    given = ["robert", "valentina", "konstantin", "ximena", "orla", "tove"] + [made()[:6] for _ in range(30)]
+    rows = []
+    for k in range(500):
+        family = made()
+        g = given[k % len(given)]
+        rows.append([g, family])
+        if g == "robert":
+            rows.append(["bob", family])
+    rows += [["valentina", rows[0][1]], ["x", "y"], ["one"], []]
+    d = spark.createDataFrame([(r,) for r in rows], "words array<string>")
+    got = {(r.a, r.b) for r in names.short_forms(d).collect()}
+    assert got == {("bob", "robert"), ("robert", "bob")}
+    assert names.short_forms(d.limit(0)).count() == 0
+    # a learnt form makes one person's names alike, and no other's
+    cells = [" ".join(r).title() for r in rows if len(r) == 2 and len(r[0]) > 1]
+    t = spark.createDataFrame([(c,) for c in cells], "artist string")
+    pairs = {frozenset((r.name_a, r.name_b)) for r in names.name_pairs(names.linked_names(t, ["artist"], [], {})).collect()}
+    want = {frozenset((f"Robert {f.title()}", f"Bob {f.title()}")) for g, f in (r for r in rows if len(r) == 2) if g == "bob"}
+    assert pairs == want
+
+
+def test_banding_recall_against_brute_force(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnoprstuvz"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(7, 13))) for _ in range(1500)]
+    words = set(base)
+    for w in base:
+        for edits_ in (1, 2):
+            x = list(w)
+            for _ in range(edits_):
+                k = rng.randrange(len(x))
+                kind = rng.randrange(4)
+                if kind == 0:
+                    x[k] = rng.choice(letters)
+                elif kind == 1:
+                    del x[k]
+                elif kind == 2:
+                    x.insert(k, rng.choice(letters))
+                elif k + 1 < len(x):
+                    x[k], x[k + 1] = x[k + 1], x[k]
+            words.add("".join(x))
+    words = sorted(words)
+    got = {(r.a, r.b) for r in names.word_links(spark.createDataFrame([(w,) for w in words], "word string").repartition(8)).collect()}
+    by_distance = {1: [0, 0], 2: [0, 0]}
+    # brute force over pairs that share a third of their letters' pairs would lose some: all pairs of the first 700 words
+    part = words[:700]
+    for i, a in enumerate(part):
+        for b in part[i + 1 :]:
+            d = names.edits(a, b, 2)
+            if d <= names.word_limit(min(len(a), len(b))):
+                by_distance[d][0] += 1
+                by_distance[d][1] += (a, b) in got
+    for d, (n, hit) in by_distance.items():
+        assert n > 50 and hit >= 0.9 * n, (d, n, hit)
