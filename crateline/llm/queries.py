@@ -47,7 +47,7 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _canonical(spark: SparkSession, d: str) -> DataFrame:
-    return styles.canonical_styles(table(spark, d, "tracks"), table(spark, d, "release_json"), table(spark, d, "style_list"))
+    return styles.canonical_styles(table(spark, d, "tracks"), table(spark, d, "release_json"), table(spark, d, "style_list"), styles.Learnt())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Every entry is a path in one trie, spelled in folded letters without spaces. Beside it lie its alias paths, made by rule
 from the entry's words: word order turned round, plurals, consonant skeletons, abbreviations, phonetic respellings, and
-the usual other spellings of common words. The automaton walks the trie with the set of edit distances of one row at a
+other spellings of single words. Those are learnt from the typed values (:func:`learnt_words`): a word that stands in the
+place of one word of several entries, and is like it, is another spelling of it; a word that follows several whole entries
+says nothing. The automaton walks the trie with the set of edit distances of one row at a
 time (optimal string alignment: a swap of neighbours is one edit) and leaves a branch as soon as no path in it can end
 within its limit. The limit depends on the length; an abbreviation must match exactly. The search returns all entries
 within the limit with their distances; of these the nearest is the match.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
@@ -21,36 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.values import cell_values, packed_entries, style_rule, trimmed
-from ..session import cut
+from ..session import cut, spread
 from ..skew import join_counted
 
 #: Entries in one trie; a longer list is searched in blocks, one trie each, so what a worker holds is bounded. The result is
 #: the same: the blocks' best hits are compared by the whole ranking.
 BLOCK = 1_000
 
-# Other spellings of common words of genre names.
-WORD_ALIASES = {
-    "house": ["haus", "howse", "hse"],
-    "techno": ["tek", "tekno", "tkno", "teckno"],
-    "ambient": ["ambiant", "ambi", "amb"],
-    "dub": ["dubb"],
-    "electro": ["elektro", "elctr", "elec"],
-    "jazz": ["jass", "jz", "jaz", "jazzz"],
-    "funk": ["phunk", "funck", "fnk"],
-    "soul": ["sole", "sol", "sowl"],
-    "disco": ["disko", "dsco", "discotheque"],
-    "breaks": ["brx", "breakz", "breakbeat", "break"],
-    "trance": ["trans", "tranz", "trnc"],
-    "folk": ["pholk", "flk", "folkk", "foke"],
-    "music": ["musik", "mus"],
-    "instrumentals": ["instrumental", "instr"],
-    "recording": ["recs", "rec"],
-    "brass": ["br"],
-}
 NUMBERS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 JOINING = {"and", "n", "und", "et", "y"}
-#: Words that add nothing to the name of a style, where the list doesn't have them.
-FILLERS = {"music", "general", "style", "nouvelle"}
+#: Entries in which a word must stand for another, or that it must follow, to be learnt; and how like the two must be.
+SPELLED_IN, FOLLOWED, LIKE = 2, 4, 0.5
+
+
+@dataclass(frozen=True)
+class Learnt:
+    """``spellings``: (typed word, word of entries); ``fillers``: words that add nothing."""
+
+    spellings: tuple[tuple[str, str], ...] = ()
+    fillers: frozenset[str] = frozenset()
 
 
 def words(text: str) -> list[str]:
@@ -71,8 +63,8 @@ def _phonetic(w: str) -> str:
     return re.sub(r"c(?![hei]|$)", "k", w)
 
 
-def word_forms(w: str) -> dict[str, bool]:
-    """Alias spellings of a word; True: typing errors on top of it are looked for too."""
+def word_forms(w: str, others: tuple[str, ...] = ()) -> dict[str, bool]:
+    """Alias spellings of a word, ``others`` among them; True: typing errors on top of it are looked for too."""
     forms = {w: True}
     skeleton = w[0] + re.sub(r"[aeiou]", "", w[1:])
     more = [skeleton, re.sub(r"(.)\1", r"\1", skeleton)] if len(w) >= 3 else []
@@ -84,11 +76,70 @@ def word_forms(w: str) -> dict[str, bool]:
     for m in more:
         if m:
             forms.setdefault(m, False)
-    for m in WORD_ALIASES.get(w, []):
+    for m in others:
         forms.setdefault(m, False)
     return forms
 
 
+def likeness(a: str, b: str) -> float:
+    """Length of the longest common subsequence of two words as they sound, by the shorter's length."""
+    a, b = _phonetic(a), _phonetic(b)
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] / max(min(len(a), len(b)), 1)
+
+
+def learnt_words(values: DataFrame, entries: list[tuple[int, str]]) -> Learnt:
+    """What the typed values (val) teach about the words of the entries.
+
+    A typed word that is no word of any entry stands for the word of entries in whose place it is found while all other words
+    agree: in SPELLED_IN entries at least, more than in any other word's place, and at least LIKE it. A word that is typed
+    behind FOLLOWED whole entries or more, and in at least half of the other values that end in it, is a filler. Counts are over distinct values; what is returned is as large as the
+    entries' vocabulary of misspellings, whatever the number of values.
+    """
+    own = {i: tuple(words(t)) for i, t in entries}
+    known = {w for ws in own.values() for w in ws}
+    whole = {ws: i for i, ws in own.items()}
+    gaps: dict[tuple, list[tuple[int, str]]] = {}
+    for i, ws in own.items():
+        if len(ws) >= 2:
+            for k in range(len(ws)):
+                gaps.setdefault((k, ws[:k], ws[k + 1 :]), []).append((i, ws[k]))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for v in b["val"]:
+                ws = tuple(words(v))
+                for k, w in enumerate(ws):
+                    if w not in known and len(ws) >= 2:
+                        rows += [(w, y, i) for i, y in gaps.get((k, ws[:k], ws[k + 1 :]), ())]
+                if len(ws) >= 2 and ws not in whole:
+                    rows.append((ws[-1], "", whole.get(ws[:-1])))
+            out = pd.DataFrame(rows, columns=["typed", "meant", "entry"])
+            yield out.assign(entry=out["entry"].astype("Int32"))
+
+    found = spread(values.select("val").filter(F.col("val").isNotNull()).distinct()).mapInPandas(read, "typed string, meant string, entry int")
+    counted = found.groupBy("typed", "meant", "entry").agg(F.count(F.lit(1)).alias("m")).groupBy("typed", "meant").agg(F.count("entry").alias("n"), F.sum(F.when(F.col("entry").isNotNull(), F.col("m"))).alias("behind"), F.sum("m").alias("all"))
+    counted = counted.filter(F.when(F.col("meant") == "", (F.col("n") >= FOLLOWED) & (2 * F.col("behind") >= F.col("all"))).otherwise(F.col("n") >= SPELLED_IN)).collect()
+    fillers = frozenset(r.typed for r in counted if r.meant == "")
+    best: dict[str, list[tuple[int, str]]] = {}
+    for r in counted:
+        if r.meant and r.typed not in fillers and likeness(r.typed, r.meant) >= LIKE:
+            best.setdefault(r.typed, []).append((r.n, r.meant))
+    spellings = []
+    for typed, options in sorted(best.items()):
+        options.sort(reverse=True)
+        if len(options) == 1 or options[0][0] > options[1][0]:
+            spellings.append((typed, options[0][1]))
+    return Learnt(tuple(spellings), fillers)
+
+
+
+
 def sole_firsts(entries: list[tuple[int, str]]) -> set[int]:
     """Entries whose first word begins no other."""
     by_word: dict[str, list[int]] = {}
@@ -98,16 +149,23 @@ def sole_firsts(entries: list[tuple[int, str]]) -> set[int]:
     return {ids[0] for ids in by_word.values() if len(ids) == 1}
 
 
+# Examples of what is learnt, for values too few to learn from: other spellings of words, and words that add nothing.
+LEARNT = Learnt((("hse", "house"), ("haus", "house"), ("tek", "techno"), ("tekno", "techno")), frozenset({"music"}))
+
+
 class Trie:
     """Entries (id, text) with their alias paths. Nodes are parallel lists; ``most`` is the largest limit below a node."""
 
-    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None):
-        """``sole_first``: entries whose first word begins no other entry of the whole list; by default of ``entries``."""
+    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None, learnt: Learnt = LEARNT):
+        """``learnt``: other spellings of words. ``sole_first``: entries whose first word begins no other entry of the whole list; by default of ``entries``."""
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, int, bool]]] = [[]]  # (entry, limit, is the entry's own spelling)
         self.most = [0]
         if sole_first is None:
             sole_first = sole_firsts(entries)
+        others: dict[str, tuple[str, ...]] = {}
+        for typed, meant in learnt.spellings:
+            others[meant] = (*others.get(meant, ()), typed)
         for i, text in entries:
             ws = words(text)
             if not ws:
@@ -116,7 +174,7 @@ class Trie:
             if len(ws) <= 3:
                 for order in sorted(orders):
                     straight = order == tuple(ws)
-                    for combo in product(*[word_forms(w).items() for w in order]):
+                    for combo in product(*[word_forms(w, others.get(w, ())).items() for w in order]):
                         path = "".join(f for f, _ in combo)
                         full = all(ok for _, ok in combo)
                         # an alias that spells another entry loses to that entry's own spelling in the ranking
@@ -198,8 +256,9 @@ class Trie:
 class Matcher:
     """Typed values to entries."""
 
-    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None):
-        self.trie = Trie(entries, sole_first)
+    def __init__(self, entries: list[tuple[int, str]], sole_first: set[int] | None = None, learnt: Learnt = LEARNT):
+        self.learnt = learnt
+        self.trie = Trie(entries, sole_first, learnt)
         self.text = dict(entries)
         self.folded = {i: "".join(words(t)) for i, t in entries}
         self.seen_words = {w for _, t in entries for w in words(t)}
@@ -208,7 +267,7 @@ class Matcher:
         """The value's words, then with less and less around the name."""
         ws = words(value)
         yield ws
-        kept = [w for w in ws if w not in FILLERS]
+        kept = [w for w in ws if w not in self.learnt.fillers]
         if kept and kept != ws:
             yield kept
         inner = re.search(r"\(([^()]+)\)", value)
@@ -246,28 +305,31 @@ class Matcher:
 
 
 @lru_cache(maxsize=4)
-def _matcher(entries: tuple[tuple[int, str], ...], sole_first: frozenset[int]) -> Matcher:
-    return Matcher(list(entries), set(sole_first))
+def _matcher(entries: tuple[tuple[int, str], ...], sole_first: frozenset[int], learnt: Learnt) -> Matcher:
+    return Matcher(list(entries), set(sole_first), learnt)
 
 
-def match_values(values: DataFrame, styles: DataFrame, block: int = BLOCK) -> DataFrame:
+def match_values(values: DataFrame, styles: DataFrame, block: int = BLOCK, known: Learnt = LEARNT) -> DataFrame:
     """Each distinct value of ``values.val`` with its entry: (val, style_id, distance); style_id 0 where none is near.
 
-    Null values have no row. An empty list leaves every value unmatched. Of entries at the same distance one matched by
-    its own spelling wins over one matched by an alias, then one with the same first letter, then the smaller id.
+    ``known``: other spellings and fillers known beforehand, beside those that the values teach. Null values have no row. An
+    empty list leaves every value unmatched. Of entries at the same distance one matched by its own spelling wins over one
+    matched by an alias, then one with the same first letter, then the smaller id.
     """
     distinct = values.select("val").filter(F.col("val").isNotNull()).distinct()
     rows = styles.filter(F.col("style_id").isNotNull() & F.col("style").isNotNull()).select("style_id", "style").distinct().orderBy("style_id")
     # the list is given by hand; its ids and texts pass the driver, the tries are made in the workers block by block
     listed = [(r.style_id, r.style) for r in rows.toLocalIterator()]
     sole = sole_firsts(listed)
+    taught = learnt_words(distinct, listed)
+    learnt = Learnt(tuple(dict.fromkeys(known.spellings + taught.spellings)), known.fillers | taught.fillers)
     blocks = [tuple(listed[k : k + block]) for k in range(0, len(listed), block)] or [()]
 
     def mapper(entries):
         first = frozenset(i for i, _ in entries if i in sole)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            m = _matcher(entries, first)
+            m = _matcher(entries, first, learnt)
             for b in batches:
                 got = [m.ranked(v) for v in b["val"]]
                 yield pd.DataFrame({"val": b["val"], **{c: [g[k] for g in got] for k, c in enumerate(("style_id", "distance", "alias", "other_letter"))}}).astype({"style_id": "int32", "distance": "int32", "alias": "int32"})
@@ -296,7 +358,7 @@ def release_styles(releases: DataFrame) -> DataFrame:
     return whole.select("release_id", F.posexplode(styles).alias("p", "v")).select(F.col("release_id").alias("rec_id"), (F.col("p") + 1).cast("int").alias("pos"), trimmed(F.col("v")).alias("val")).filter("val <> ''")
 
 
-def canonical_styles(tracks: DataFrame, releases: DataFrame, styles: DataFrame) -> DataFrame:
+def canonical_styles(tracks: DataFrame, releases: DataFrame, styles: DataFrame, known: Learnt = LEARNT) -> DataFrame:
     """(src, rec_id, pos, val, style_id, distance) of every value that is not literally an entry.
 
     Null and blank cells, null ids and documents that are not whole JSON give no rows; a repeated row counts once; a value
@@ -307,7 +369,7 @@ def canonical_styles(tracks: DataFrame, releases: DataFrame, styles: DataFrame)
     per_cell = cut(cells.select("cell", "n_rows", F.posexplode("values").alias("p", "val")).select("cell", "n_rows", (F.col("p") + 1).cast("int").alias("pos"), "val").join(listed.withColumnRenamed("style", "val"), "val", "left_anti"))
     found = cut(release_styles(releases).distinct().join(listed.withColumnRenamed("style", "val"), "val", "left_anti"))
     all_values = per_cell.select("val").unionByName(found.select("val"))
-    matched = cut(match_values(all_values, styles))
+    matched = cut(match_values(all_values, styles, known=known))
     by_cell = per_cell.join(matched, "val").groupBy("cell").agg(F.first("n_rows").alias("n_rows"), F.collect_list(F.struct("pos", "val", "style_id", "distance")).alias("hits"))
     fact = tracks.filter(F.col("id").isNotNull() & F.col("genre").isNotNull()).select(F.col("id").cast("string").alias("rec_id"), F.col("genre").alias("cell")).distinct()
     of_tracks = join_counted(fact, cut(by_cell), ["cell"]).select(F.lit("track").alias("src"), "rec_id", F.explode("hits").alias("h")).select("src", "rec_id", "h.*")
