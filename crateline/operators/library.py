@@ -137,3 +137,9 @@ def vinyl_order(by: str, ascending: bool) -> list[Column]:
     return [c.asc_nulls_last() if ascending else c.desc_nulls_last(), F.col("artist").asc_nulls_first(), F.col("instance_id")]
 
 
+
+
+def tag_worklist(tracks: DataFrame, managed: list[str]) -> DataFrame:
+    """(id, source_path, write_cover, fields): edited tracks with a file, and how many of the managed fields are filled."""
+    fields = sum((F.when(F.trim(F.col(c).cast("string")) != "", 1).otherwise(0) for c in managed), F.lit(0))
+    return tracks.filter(F.col("user_edited") & F.col("source_path").isNotNull()).select("id", "source_path", F.col("has_cover").alias("write_cover"), fields.alias("fields"))

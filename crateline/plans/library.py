@@ -135,3 +135,14 @@ def display_rows(s, d):
     t = catalog.latest(tracks(s, d), "artist", "title", "album", "genre", "album_artist", "comment", "year", "format", "bitrate_kbps", "duration_ms", "added_at", "has_cover")
     art = table(s, d, "copies").filter("is_best").select("track_id")
     return catalog.display_rows(t, table(s, d, "analysis"), art)
+
+
+MANAGED = ["title", "artist", "album", "album_artist", "genre", "label", "year", "comment"]
+
+
+@query(f"""WITH {T}
+    SELECT t.id, t.source_path, t.has_cover AS write_cover, {" + ".join(f"CASE WHEN nullif(trim(CAST(t.{c} AS VARCHAR)), '') IS NOT NULL THEN 1 ELSE 0 END" for c in MANAGED)} AS fields FROM t WHERE t.user_edited AND t.source_path IS NOT NULL""")
+def tag_worklist(s, d):
+    """What is to be written back into files: edited tracks, how many managed fields they have, whether with a cover."""
+    t = catalog.latest(tracks(s, d), "source_path", "has_cover", "user_edited", *MANAGED)
+    return library.tag_worklist(t, MANAGED)

@@ -198,16 +198,6 @@ def best_copy(s, d):
 LOOSE = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query(f"""WITH r AS (SELECT DISTINCT release_id, {LOOSE.format(c="title")} AS k FROM release_candidates WHERE trim(title) <> ''), c AS (SELECT DISTINCT release_id, {LOOSE.format(c="label")} AS k FROM release_json j JOIN (SELECT DISTINCT release_id, title AS label FROM release_candidates) USING (release_id) WHERE CAST(release_id AS BIGINT) % 2 = 0),
-    x AS (SELECT DISTINCT r.release_id AS record_id, c.release_id AS row_id FROM r JOIN c ON TRY_CAST(trim(r.release_id) AS BIGINT) = TRY_CAST(trim(c.release_id) AS BIGINT))
-    SELECT record_id, row_id, 'id' AS how FROM x UNION ALL SELECT DISTINCT r.release_id, c.release_id, 'text' FROM r JOIN c ON r.k = c.k WHERE r.k <> '' AND r.release_id NOT IN (SELECT record_id FROM x)""")
-def linkage_exact_then_fallback(s, d):
-    cand = table(s, d, "release_candidates").select("release_id", "title").distinct()
-    records = cand.filter(F.trim("title") != "").select(F.col("release_id").alias("id"), text.norm_loose(F.col("title")).alias("text")).distinct()
-    docs = table(s, d, "release_json").select("release_id").distinct().join(cand, "release_id").filter(F.col("release_id").cast("bigint") % 2 == 0)
-    return linkage.exact_then_fallback(records, docs.select(F.col("release_id").alias("id"), text.norm_loose(F.col("title")).alias("text")).distinct())
-
-
 LINKED = f"""WITH r AS (SELECT DISTINCT release_id, {LOOSE.format(c="title")} AS k FROM release_candidates WHERE trim(title) <> ''), c AS (SELECT DISTINCT release_id, {LOOSE.format(c="label")} AS k FROM release_json j JOIN (SELECT DISTINCT release_id, title AS label FROM release_candidates) USING (release_id)),
     x AS (SELECT DISTINCT r.release_id AS record_id, c.release_id AS row_id FROM r JOIN c ON TRY_CAST(trim(r.release_id) AS BIGINT) = TRY_CAST(trim(c.release_id) AS BIGINT))
     SELECT record_id, row_id, 'id' AS how FROM x UNION ALL SELECT DISTINCT r.release_id, c.release_id, 'text' FROM r JOIN c ON r.k = c.k WHERE r.k <> '' AND r.release_id NOT IN (SELECT record_id FROM x)"""
@@ -284,17 +274,6 @@ def relink_prefix_plan(s, d):
     return state.relink_plan(catalog.latest(tracks(s, d), "source_path"), "source_path", "/media/crate01", "/media/crate02")
 
 
-@query("""WITH s AS (SELECT id, max(coalesce(user_edited, false)) AS e, max(title) AS title, min(src_size) AS size FROM tracks WHERE id IS NOT NULL AND id % 3 <> 0 GROUP BY id), n AS (SELECT id, max(title) AS title, max(src_size) AS size FROM tracks WHERE id IS NOT NULL AND id % 3 <> 1 GROUP BY id)
-    SELECT coalesce(s.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND NOT coalesce(s.e, false) THEN n.title WHEN s.id IS NULL THEN n.title ELSE s.title END AS title, CASE WHEN n.id IS NOT NULL THEN n.size ELSE s.size END AS src_size, coalesce(s.e, false) AS user_edited,
-    CASE WHEN s.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'kept' WHEN n.size IS NOT DISTINCT FROM s.size THEN 'unchanged' ELSE 'updated' END AS status FROM s FULL JOIN n ON s.id = n.id""")
-def upsert_scan_merge(s, d):
-    t = tracks(s, d).filter("id is not null")
-    # two thirds of the library are stored, two thirds are in the new scan
-    stored = t.filter("id % 3 <> 0").groupBy("id").agg(F.max(F.coalesce("user_edited", F.lit(False))).alias("user_edited"), F.max("title").alias("title"), F.min("src_size").alias("src_size"))
-    new = t.filter("id % 3 <> 1").groupBy("id").agg(F.max("title").alias("title"), F.max("src_size").alias("src_size"))
-    return state.scan_upsert(stored, new, ["title"], ["src_size"])
-
-
 STORED, SCANNED = (f"SELECT id, user_edited, title, src_size FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(src_mtime, -4611686018427387904) {way}, coalesce(discogs_meta_fetched_at, -4611686018427387904) {way}, coalesce(src_size, -4611686018427387904) {way}, coalesce(title, '') {way}, coalesce(user_edited, false) {way}) AS rn FROM tracks WHERE id IS NOT NULL) WHERE rn = 1" for way in ("ASC", "DESC"))
 
 
@@ -362,12 +341,6 @@ def accuracy_grading(s, d):
     return a.join(t, "track_id").select("track_id", grade.alias("grade"))
 
 
-@query("""SELECT track_id, CAST(b AS INTEGER) AS beat, round(beat_offset_ms + b * (60000.0 / bpm), 3) AS at_ms, CAST(((coalesce(first_beat_number, 1) - 1 + b) % 4) + 1 AS INTEGER) AS in_bar
-    FROM (SELECT *, unnest(generate_series(0, CAST(ceil((8000 - beat_offset_ms) / (60000.0 / bpm)) AS BIGINT) - 1)) AS b FROM analysis WHERE track_id IS NOT NULL AND bpm > 0 AND beat_offset_ms IS NOT NULL AND beat_offset_ms < 8000)""")
-def beat_grid_expand(s, d):
-    return series.beats_in_window(table(s, d, "analysis").filter("track_id is not null"), 8000)
-
-
 @query(f"""WITH {T} SELECT track_id, CAST(b AS INTEGER) AS beat, round(beat_offset_ms + b * (60000.0 / bpm), 3) AS at_ms, CAST(((coalesce(first_beat_number, 1) - 1 + b) % 4) + 1 AS INTEGER) AS in_bar
     FROM (SELECT a.*, unnest(generate_series(0, CAST(ceil((duration_ms + 0.5::DOUBLE - beat_offset_ms) / (60000.0 / bpm)) AS BIGINT) - 1)) AS b FROM analysis a JOIN t ON t.id = track_id WHERE duration_ms > 0 AND bpm > 0 AND beat_offset_ms IS NOT NULL AND beat_offset_ms <= duration_ms)""")
 def beat_grid_full(s, d):

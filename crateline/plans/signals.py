@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, duplicates, series
 from ..session import table
-from .queries import HOURS, T, hourly, tracks
+from .queries import HOURS, IDENTICAL, SAME, T, hourly, tracks
 from .registry import query
 
 #: Words of a print made for a track: those of its title, every other one with a bit changed by the track.
@@ -121,3 +121,15 @@ def analysed_tempi(s, d):
     samples = F.transform(F.sequence(F.lit(0), F.lit(rate * seconds - 1)), lambda i: F.when(F.pmod(i.cast("double"), step) < 60, 0.8 * F.cos(i * 0.7)).otherwise(0.0).cast("float"))
     made = tempos.select("track_id", F.lit(rate).alias("sample_rate"), samples.alias("samples"))
     return analyse(made.repartition(16, "track_id")).select("track_id", "bpm", "beat_offset_ms", "first_beat_number", "key_tonic", "peak", F.size("audio_fingerprint").alias("words"), F.length("waveform_bands").alias("bands"), "content_hash", "error")
+
+
+@query(f"""WITH RECURSIVE {T}, v AS (SELECT id, lower(trim(title)) AS w, coalesce(duration_ms, 0) AS d FROM t WHERE trim(title) <> ''), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.w = b.w AND a.id <> b.id AND abs(a.d - b.d) <= 15000),
+    r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), m AS (SELECT id, min(root) AS component FROM r GROUP BY id),
+    k AS (SELECT component, id, nullif(trim(fingerprint), '') AS fp, CASE WHEN trim(artist) <> '' AND trim(title) <> '' THEN lower(trim(artist)) || chr(31) || lower(trim(title)) END AS song FROM m JOIN t USING (id)),
+    g AS (SELECT component, count(*) AS n FROM k GROUP BY component HAVING count(*) >= 2 AND NOT (count(fp) = count(*) AND count(DISTINCT fp) = 1) AND NOT (count(song) = count(*) AND count(DISTINCT song) = 1))
+    SELECT 'acoustic' AS kind, 'acoustic' || chr(31) || component AS group_key, n, component AS first_id FROM g UNION ALL {IDENTICAL} UNION ALL {SAME}""")
+def duplicate_groups(s, d):
+    """Groups of all three kinds; an acoustic group is named by its smallest id, its members are in acoustic_classes."""
+    t = catalog.latest(tracks(s, d), "duration_ms", "fingerprint", "artist", "title")
+    classes = duplicates.acoustic_classes(t, made_prints(s, d)).select(F.lit("acoustic").alias("kind"), F.concat(F.lit("acoustic\x1f"), F.col("component").cast("string")).alias("group_key"), "n", F.col("component").alias("first_id")).distinct()
+    return classes.unionByName(duplicates.identical_groups(t)).unionByName(duplicates.same_track_groups(t))
