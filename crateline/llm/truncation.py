@@ -51,6 +51,8 @@ UNSURE = (0.05, 0.8)
 START, NAME, SEP = "<s>", "<name>", "\x1f"
 #: Tokens of context before a word: of words as they are, and of names as they are.
 WIDEST, WIDEST_NAMED = 3, 2
+#: Distinct tokens remembered by a worker, which starts anew beyond.
+TOKENS_HELD = 500_000
 #: Distinct runs held by a task before they are handed on.
 RUNS_HELD = 500_000
 
@@ -59,22 +61,47 @@ def is_word(t: str) -> bool:
     return t[0].isalnum()
 
 
-def tokens(text: str) -> tuple[list[str], list[str]]:
-    """The text's tokens in lower case with the starts of sentences, and the same with a class in place of names."""
-    exact, general = [START], [START]
-    begins = True
-    for x in TOKEN.findall(DIGIT.sub("0", text)):
-        low = x.lower()
-        exact.append(low)
-        if x in BREAK_SIGNS:
-            general.append(x)
-            exact.append(START)
-            general.append(START)
-            begins = True
+class _Lower(dict):
+    """Tokens to lower case, remembered."""
+
+    def __missing__(self, x: str) -> str:
+        if len(self) > TOKENS_HELD:
+            self.clear()
+        self[x] = START if x in BREAK_SIGNS else x.lower()
+        return self[x]
+
+
+class _General(dict):
+    """Tokens to what they count as in a context: a sentence's border, a name, or themselves in lower case."""
+
+    def __missing__(self, x: str) -> str:
+        if len(self) > TOKENS_HELD:
+            self.clear()
+        self[x] = START if x in BREAK_SIGNS else NAME if x[0].isupper() and x[-1].isalpha() else x.lower()
+        return self[x]
+
+
+_lower, _general = _Lower(), _General()
+
+
+def tokens(text: str) -> tuple[list[str], list[str], list[int]]:
+    """The text's tokens in lower case, the same with a class in place of names, and where names stand.
+
+    Signs between sentences are START. A capitalised word at the start of a sentence is no name.
+    """
+    raw = TOKEN.findall(DIGIT.sub("0", text))
+    exact = [START, *map(_lower.__getitem__, raw)]
+    general = [START, *map(_general.__getitem__, raw)]
+    names = []
+    for i in [k for k, x in enumerate(general) if x == NAME]:
+        j = i - 1
+        while not general[j][0].isalnum() and general[j] != START and general[j] != NAME:
+            j -= 1  # brackets and quotes before the first word
+        if general[j] == START:
+            general[i] = exact[i]
         else:
-            general.append(NAME if not begins and x[0].isupper() and x[-1].isalpha() else low)
-            begins = begins and not x[0].isalnum()
-    return exact, general
+            names.append(i)
+    return exact, general, names
 
 
 def without_pictures(text: str) -> str:
@@ -95,7 +122,7 @@ def _kind(follower: str) -> int:
     """0 if a sentence ends before this token, 1 if it goes on, 2 at the end of the text."""
     if follower == "":
         return 2
-    return 0 if follower in BREAK_SIGNS or (not follower[0].isalnum() and ord(follower[0]) > 0x2000 and follower not in OPEN_SIGNS) else 1
+    return 0 if follower == START or (not follower[0].isalnum() and ord(follower[0]) > 0x2000 and follower not in OPEN_SIGNS) else 1
 
 
 class Runs:
@@ -108,12 +135,10 @@ class Runs:
         self.plain: Counter = Counter()
         self.named: Counter = Counter()
 
-    def add(self, exact: list[str], general: list[str]) -> None:
+    def add(self, exact: list[str], general: list[str], names: list[int]) -> None:
         g = ["", "", *general, ""]
         self.plain.update(zip(g, g[1:], g[2:], g[3:], g[4:]))
-        if NAME in g:
-            e = ["", "", *exact]
-            self.named.update((g[i - 2], g[i - 1], e[i], g[i + 1]) for i, x in enumerate(g) if x == NAME)
+        self.named.update([(g[i], g[i + 1], exact[i], g[i + 3]) for i in names])
 
     def __len__(self) -> int:
         return len(self.plain) + len(self.named)
@@ -128,7 +153,7 @@ class Runs:
                 k = _kind(run[-1])
                 for width in range(widest + 1):
                     c = run[-2 - width : -2]
-                    if START in c[1:] or "" in c or (0 < width < widest and run[-3 - width] == START):
+                    if START in c[1:] or "" in c or (0 < width < widest and c[0] != START and run[-3 - width] == START):
                         continue
                     key = (c, word)
                     row = sums.get(key)
@@ -150,7 +175,7 @@ def asked(exact: list[str], general: list[str]) -> list[tuple[int, int, int, str
     out = []
     for width in range(WIDEST, 0, -1):
         c = tuple(general[-1 - width : -1])
-        if len(c) < width or START in c[1:] or (width < WIDEST and general[-2 - width : -1 - width] == [START]):
+        if len(c) < width or START in c[1:] or (width < WIDEST and c[0] != START and general[-2 - width : -1 - width] == [START]):
             continue
         out.append((WIDEST - width, width, _key(c), exact[-1]))
         out.append((WIDEST - width + 4, width, _key(c), NAME))
@@ -219,12 +244,12 @@ def _pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if held is not None:
                 note(held, text)
             verdict, trails = _verdict(text)
-            exact, general = tokens(text)
-            runs.add(exact, general)
+            exact, general, names = tokens(text)
+            runs.add(exact, general, names)
             named = False
             if verdict == "":
                 if trails:
-                    exact, general = tokens(ELLIPSIS.sub("", text.rstrip()))
+                    exact, general, _ = tokens(ELLIPSIS.sub("", text.rstrip()))
                 if is_word(exact[-1]):
                     named = general[-1] == NAME
                     for place, width, context, word in asked(exact, general):
