@@ -399,6 +399,21 @@ def bit_error_rate(a: np.ndarray, b: np.ndarray, reach: int = 48, least: int = 8
     return best
 
 
+def first_match(a: np.ndarray, b: np.ndarray, most: float, reach: int = 48, least: int = 80) -> float | None:
+    """The bit error rate at the first shift, from none outwards, at which it is at most ``most``; None if there is none.
+
+    Whether two prints match is that :func:`bit_error_rate` is at most ``most``; copies mostly do without a shift.
+    """
+    for lag in sorted(range(-reach, reach + 1), key=abs):
+        x, y = (a[lag:], b) if lag >= 0 else (a, b[-lag:])
+        n = min(len(x), len(y))
+        if n >= least and min(len(a), len(b)) >= least:
+            error = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (24 * n)
+            if error <= most:
+                return error
+    return None
+
+
 def low_pass(spec: np.ndarray, sample_rate: int) -> tuple[float | None, float | None]:
     """(cut-off Hz, edge dB/kHz) of the loud frames' mean spectrum; nothing if it reaches Nyquist."""
     energy = (spec**2).sum(axis=1)

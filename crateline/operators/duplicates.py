@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, written
 
 
 def _keyed(kind: str, key: Column) -> Column:
@@ -129,36 +129,40 @@ def near_signatures(rows: DataFrame, id_col: str, most: int = 11) -> DataFrame:
     return near.unionByName(same)
 
 
-#: Words of a track's print that are compared, those of the least hash; and rows from which a word is frequent.
-SKETCH, FREQUENT = 64, 200
+#: Words of a track's print that are compared, those of the least hash; how many two prints must share; and the rows from
+#: which a word is frequent.
+SKETCH, SHARED, FREQUENT = 96, 2, 200
 
 
 def print_candidates(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: prints (rep, words) that share a word of their sketches.
+    """(a, b), a < b: prints (rep, words) that share SHARED words of their sketches.
 
     A sketch is the SKETCH distinct words of the least hash, so it doesn't matter where in the track they stand. A word
-    that more than FREQUENT sketches hold counts only together with the next one of the sketch. Of two copies with two of 24
-    bits changed in each word an eighth of the words is equal; they share a sketch word in 98 of 100 cases.
+    that more than FREQUENT sketches hold counts only together with the next one of the sketch, and then as two. Of two
+    copies with two of 24 bits changed in each word an eighth of the words is equal; they share six sketch words on average,
+    and two at least in 98 of 100 cases. Unrelated prints share one by chance, hardly ever two.
     """
     hashes = F.slice(F.sort_array(F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))), 1, SKETCH)
     own = cut(prints.select("rep", F.posexplode(hashes).alias("p", "word")))
     hot = own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT).select("word", F.lit(True).alias("hot"))
     marked = own.join(hot, "word", "left")
-    single = marked.filter("hot is null").select("rep", F.col("word").alias("key"))
+    single = marked.filter("hot is null").select("rep", F.col("word").alias("key"), F.lit(1).alias("m"))
     after = own.select("rep", (F.col("p") - 1).alias("p"), F.col("word").alias("after"))
-    double = marked.filter("hot").select("rep", "p", "word").join(after, ["rep", "p"]).select("rep", F.xxhash64("word", "after").alias("key"))
+    double = marked.filter("hot").select("rep", "p", "word").join(after, ["rep", "p"]).select("rep", F.xxhash64("word", "after").alias("key"), F.lit(2).alias("m"))
     keys = cut(single.unionByName(double))
-    return keys.select(F.col("rep").alias("a"), "key").join(keys.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    met = keys.select(F.col("rep").alias("a"), "key", "m").join(keys.select(F.col("rep").alias("b"), "key"), "key").filter("a < b")
+    return met.groupBy("a", "b").agg(F.sum("m").alias("m")).filter(F.col("m") >= SHARED).select("a", "b")
 
 
 def print_matches(prints: DataFrame, candidates: DataFrame, most: float = 0.18) -> DataFrame:
-    """(a, b, error): candidates whose least bit error rate over all shifts is at most ``most``; too short ones never match."""
-    from ..functions.dsp import bit_error_rate
+    """(a, b, error): candidates whose bit error rate is at most ``most`` at some shift, with the rate at the nearest such;
+    too short ones never match."""
+    from ..functions.dsp import first_match
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            errors = [bit_error_rate(np.asarray(x), np.asarray(y)) for x, y in zip(b["x"], b["y"], strict=True)]
-            keep = [e is not None and e <= most for e in errors]
+            errors = [first_match(np.asarray(x, dtype=np.uint64), np.asarray(y, dtype=np.uint64), most) for x, y in zip(b["x"], b["y"], strict=True)]
+            keep = [e is not None for e in errors]
             yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "error": [e for e, k in zip(errors, keep, strict=True) if k]})
 
     x, y = (prints.select(F.col("rep").alias(s), F.col("words").alias(w)) for s, w in (("a", "x"), ("b", "y")))
@@ -177,7 +181,7 @@ def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000,
     linked. Links are made between stretches, never between all tracks, so a class with a third of the rows has a few
     hundred of them.
     """
-    own = prints.filter(F.size("words") > 0).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
+    own = written(prints.filter(F.size("words") > 0)).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
     reps = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("words", "id").alias("words")))
     near = print_matches(reps.select("rep", "words"), print_candidates(reps.select("rep", "words")), most).select("a", "b")
     rows = own.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).join(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v")), "id").select("id", "rep", F.floor(F.col("v") / width).alias("place"), "v")

@@ -21,7 +21,8 @@ def made_prints(s, d):
     word = lambda i: number(F.substring(F.md5(F.concat(F.lower(F.trim("title")), F.lit("/"), i.cast("string"))), 1, 6))
     bit = lambda i: F.pmod(number(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), i.cast("string"))), 1, 4)), F.lit(24))
     words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.when(i % 2 == 0, word(i)).otherwise(word(i).bitwiseXOR(F.call_function("shiftleft", F.lit(1), bit(i)))))
-    return t.select("id", words.alias("words"))
+    # a few bytes of each track make thousands, so small tasks
+    return t.repartition(2 * s.sparkContext.defaultParallelism, F.xxhash64("id")).select("id", words.alias("words"))
 
 
 @query(f"""WITH RECURSIVE {T}, v AS (SELECT id, lower(trim(title)) AS w, coalesce(duration_ms, 0) AS d FROM t WHERE trim(title) <> ''), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.w = b.w AND a.id <> b.id AND abs(a.d - b.d) <= 15000),
