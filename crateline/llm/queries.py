@@ -31,11 +31,11 @@ def p2_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.name_pairs(names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS, {}))
+    return names.name_pairs(names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS, {}, frozenset()))
 
 
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
-    return names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS, {})
+    return names.linked_names(table(spark, d, "tracks"), P3_PEOPLE, P3_LABELS, {}, frozenset())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
