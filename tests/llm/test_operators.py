@@ -317,3 +317,13 @@ def test_banding_recall_against_brute_force(spark):
                 by_distance[d][1] += (a, b) in got
     for d, (n, hit) in by_distance.items():
         assert n > 50 and hit >= 0.9 * n, (d, n, hit)
+
+
+def test_label_words_are_learnt(spark):
+    rng = random.Random(13)
+    made = lambda: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(4)).title()
+    stems = [made() for _ in range(12)]
+    cells = [f"{x} {w}" for k, x in enumerate(stems) for w in (("Diskosan", "Zound Werks") if k % 2 else ("Zound Werks", "Diskosan Lmtd"))] + stems + ["Werks", "Grey Harbour", None, " "]
+    d = spark.createDataFrame([("label", c) for c in cells if c and c.strip()], "kind string, name string")
+    assert names.learnt_label_words(d) == {"diskosan", "werks", "zound", "lmtd"} and names.learnt_label_words(d.limit(0)) == frozenset()
+    assert names.name_words("Grey Werks", "label", {"werks"}) == ["grey"] and names.name_words("Werks", "label", {"werks"}) == ["werks"]
