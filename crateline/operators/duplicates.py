@@ -181,7 +181,7 @@ def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000,
     linked. Links are made between stretches, never between all tracks, so a class with a third of the rows has a few
     hundred of them.
     """
-    own = written(prints.filter(F.size("words") > 0)).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
+    own = written(prints).filter(F.size("words") > 0).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
     reps = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("words", "id").alias("words")))
     near = print_matches(reps.select("rep", "words"), print_candidates(reps.select("rep", "words")), most).select("a", "b")
     rows = own.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).join(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v")), "id").select("id", "rep", F.floor(F.col("v") / width).alias("place"), "v")
