@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from ..operators.values import PEOPLE, cell_values, trimmed
 from ..session import cut, written
+from ..skew import apart
 from .mojibake import garbled_texts
 
 #: A word that more classes share doesn't make them candidates alone (a given name, a kind of group), but with a letter of
@@ -249,7 +250,7 @@ FULL_BAND = 200
 def _verified_words(signed: DataFrame) -> DataFrame:
     signed = cut(signed.filter("size > 1"))
     normal = signed.filter(F.col("size") <= FULL_BAND)
-    pairs = normal.select(F.col("word").alias("a"), "key").join(normal.select(F.col("word").alias("b"), "key"), "key").filter("a < b").select("a", "b")
+    pairs = normal.select(F.col("word").alias("a"), "key").join(apart(normal.select(F.col("word").alias("b"), "key")), "key").filter("a < b").select("a", "b")
     crowded = signed.filter(F.col("size") > FULL_BAND).select("word").distinct()
 
     def lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,7 +264,7 @@ def _verified_words(signed: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["word", "less"])
 
     short = crowded.mapInPandas(lacking, "word string, less string")
-    exact = short.select(F.col("word").alias("a"), "less").join(short.select(F.col("word").alias("b"), "less"), "less").filter("a < b").select("a", "b")
+    exact = short.select(F.col("word").alias("a"), "less").join(apart(short.select(F.col("word").alias("b"), "less")), "less").filter("a < b").select("a", "b")
     candidates = pairs.unionByName(exact).filter(F.abs(F.length("a") - F.length("b")) <= 2).distinct()
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,7 +286,7 @@ def spellings(tracks: DataFrame, people: list[str], labels: list[str]) -> DataFr
     found = single.unionByName(long.select(F.lit("label").alias("kind"), "name", F.lit(1).cast("bigint").alias("n_rows")))
     found = cut(found.groupBy("kind", "name").agg(F.sum("n_rows").alias("n")))
     bad = garbled_texts(found.groupBy(F.col("name").alias("cell")).agg(F.sum("n").alias("n_rows"))).select(F.col("cell").alias("name"))
-    return found.join(bad, "name", "left_anti")
+    return found.join(apart(bad), "name", "left_anti")
 
 
 #: Names that a word must end, and of the names that hold it the share, to say only that it is a label.
@@ -375,8 +376,8 @@ def short_forms(words: DataFrame) -> DataFrame:
 def with_forms(names: DataFrame, forms: DataFrame) -> DataFrame:
     """Names (class, words) whose class says behind another tab which other forms (a, b) its words have."""
     of_word = forms.groupBy(F.col("a").alias("word")).agg(F.array_join(F.sort_array(F.collect_set("b")), ",").alias("others"))
-    of_class = names.select("class", F.explode("words").alias("word")).join(of_word, "word").groupBy("class").agg(F.array_join(F.sort_array(F.collect_set(F.concat("word", F.lit("="), "others"))), ";").alias("forms"))
-    return names.join(of_class, "class", "left").withColumn("class", F.concat("class", F.lit("\t"), F.coalesce("forms", F.lit("")))).drop("forms")
+    of_class = names.select("class", F.explode("words").alias("word")).join(apart(of_word), "word").groupBy("class").agg(F.array_join(F.sort_array(F.collect_set(F.concat("word", F.lit("="), "others"))), ";").alias("forms"))
+    return names.join(apart(of_class), "class", "left").withColumn("class", F.concat("class", F.lit("\t"), F.coalesce("forms", F.lit("")))).drop("forms")
 
 
 @lru_cache(maxsize=100_000)
@@ -405,10 +406,10 @@ def _common_pairs(ranked: DataFrame, links: DataFrame, given: DataFrame) -> Data
     a rare word through which a similar one is found. A word near a frequent one stands for that as well.
     """
     frequent = ranked.filter((F.length("word") > 1) & (F.col("df") > RARE)).select("kind", F.col("word").alias("b")).distinct()
-    near = ranked.select("class", "kind", F.col("word").alias("a")).join(links, "a").join(frequent, ["kind", "b"]).select("class", "kind", "a", F.col("b").alias("hot"))
+    near = ranked.select("class", "kind", F.col("word").alias("a")).join(apart(links), "a").join(apart(frequent), ["kind", "b"]).select("class", "kind", "a", F.col("b").alias("hot"))
     near = cut(near.distinct())
     own = ranked.filter(F.length("word") > 1).select("class", F.col("word").alias("a"))
-    rare = own.join(near.select("class", "a"), ["class", "a"], "left_anti").join(given.select("a"), "a", "left_anti").select("class").distinct()
+    rare = own.join(apart(near.select("class", "a")), ["class", "a"], "left_anti").join(apart(given.select("a")), "a", "left_anti").select("class").distinct()
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -417,8 +418,8 @@ def _common_pairs(ranked: DataFrame, links: DataFrame, given: DataFrame) -> Data
                 yield pd.DataFrame(rows, columns=["class", "kind", "hot", "letter"])
 
     keys = cut(near.mapInPandas(spell, "class string, kind string, hot string, letter string").distinct())
-    common = keys.join(rare, "class", "left_anti").select(F.col("class").alias("x"), "kind", "hot", "letter")
-    met = common.join(keys.select(F.col("class").alias("y"), "kind", "hot", "letter"), ["kind", "hot", "letter"]).filter("x <> y")
+    common = keys.join(apart(rare), "class", "left_anti").select(F.col("class").alias("x"), "kind", "hot", "letter")
+    met = common.join(apart(keys.select(F.col("class").alias("y"), "kind", "hot", "letter")), ["kind", "hot", "letter"]).filter("x <> y")
     return met.select(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).distinct()
 
 
@@ -446,7 +447,7 @@ def class_links(nodes: DataFrame, given: DataFrame | None = None) -> DataFrame:
     long = nodes.select("class", "kind", F.explode(F.array_distinct("words")).alias("word"))
     freq = long.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("df"))
     least = F.min(F.when(F.length("word") > 1, F.col("df"))).over(Window.partitionBy("class"))
-    ranked = cut(long.join(freq, ["kind", "word"]).withColumn("least", least))
+    ranked = cut(long.join(apart(freq), ["kind", "word"]).withColumn("least", least))
     keyed = ranked.filter((F.length("word") > 1) & ((F.col("df") <= RARE) | (F.col("df") == F.col("least")))).select("class", "kind", "word")
     vocabulary = ranked.filter(F.length("word") > 1).select("word").distinct()
     links = word_links(vocabulary.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "word"))
@@ -454,7 +455,7 @@ def class_links(nodes: DataFrame, given: DataFrame | None = None) -> DataFrame:
     links = cut(links.unionByName(same))
     left = keyed.select(F.col("class").alias("ca"), "kind", F.col("word").alias("a"))
     right = keyed.select(F.col("class").alias("cb"), "kind", F.col("word").alias("b"))
-    pairs = left.join(links, "a").join(right, ["b", "kind"]).filter("ca < cb").select("ca", "cb").unionByName(_common_pairs(ranked, links, given)).distinct()
+    pairs = left.join(apart(links), "a").join(apart(right), ["b", "kind"]).filter("ca < cb").select("ca", "cb").unionByName(_common_pairs(ranked, links, given)).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -474,9 +475,9 @@ def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     strength = links.groupBy("a").agg(F.sum("similarity").alias("s"))
     rank = F.struct(F.round(F.coalesce("s", F.lit(0.0)), 6).alias("s"), F.col("n"), F.col("class"))
-    ranked = cut(nodes.join(strength, nodes["class"] == strength["a"], "left").select("class", rank.alias("rank")))
-    lonely = ranked.join(links.select(F.col("a").alias("class")).distinct(), "class", "left_anti").select("class", F.col("class").alias("hub"))
-    edges = cut(links.join(ranked.select(F.col("class").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("class").alias("b"), F.col("rank").alias("rb")), "b"))
+    ranked = cut(nodes.join(apart(strength), nodes["class"] == strength["a"], "left").select("class", rank.alias("rank")))
+    lonely = ranked.join(apart(links.select(F.col("a").alias("class")).distinct()), "class", "left_anti").select("class", F.col("class").alias("hub"))
+    edges = cut(links.join(apart(ranked.select(F.col("class").alias("a"), F.col("rank").alias("ra"))), "a").join(apart(ranked.select(F.col("class").alias("b"), F.col("rank").alias("rb"))), "b"))
     done = [lonely]
     while True:
         hubs = cut(edges.groupBy("a").agg(F.max("rb").alias("top"), F.first("ra").alias("own")).filter("own > top").select("a"))
@@ -513,10 +514,10 @@ def linked_names(tracks: DataFrame, people: list[str], labels: list[str], known:
     names = written(with_forms(plain, forms))
     nodes = written(names.groupBy("class", "kind").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
     hubs = star_clusters(nodes, class_links(nodes, forms.select("a").distinct()))
-    return names.join(hubs, "class").select("kind", "name", "n", "hub")
+    return names.join(apart(hubs), "class").select("kind", "name", "n", "hub")
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
     """(name_a, name_b), name_a before name_b by code points: each two spellings of one entity."""
     one = linked.select("hub", "name").distinct()
-    return one.select("hub", F.col("name").alias("name_a")).join(one.select("hub", F.col("name").alias("name_b")), "hub").filter("name_a < name_b").select("name_a", "name_b").distinct()
+    return one.select("hub", F.col("name").alias("name_a")).join(apart(one.select("hub", F.col("name").alias("name_b"))), "hub").filter("name_a < name_b").select("name_a", "name_b").distinct()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crateline.llm import bpe, matching, mixing, mojibake, names, styles, survivorship, truncation
+from crateline.session import written
 
 
 def test_encoder_equals_reference_and_round_trip():
@@ -284,6 +285,15 @@ def test_short_forms_are_learnt(spark):
     assert pairs == want
 
 
+def test_vocabulary_is_not_broadcast(spark):
+    words = written(spark.createDataFrame([(w,) for w in ("harbour", "harbor", "harbours", "smith", "smyth")], "word string"))
+    links = names.word_links(words)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {("harbor", "harbour"), ("harbour", "harbours"), ("smith", "smyth")} <= {(r.a, r.b) for r in links.collect()}
+    nodes = spark.createDataFrame([("people\tanna smith", "people", ["anna", "smith"], 2), ("people\tanna smyth", "people", ["anna", "smyth"], 1)], "class string, kind string, words array<string>, n bigint")
+    assert names.class_links(nodes).count() == 2
+
+
 def test_banding_recall_against_brute_force(spark):
     rng = random.Random(12)
     letters = "abcdefghijklmnoprstuvz"
