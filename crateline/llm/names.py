@@ -333,7 +333,7 @@ def classes(names: DataFrame, label_words: frozenset[str] | set[str] = LABEL_WOR
     return names.select("kind", "name", "n").mapInPandas(reduce, "kind string, name string, n bigint, words array<string>, class string").filter(F.size("words") > 0)
 
 
-#: A family name counts as evidence with at most so many given names: with more two meet by chance.
+#: Family names with at most so many given names are judged first: with more two meet by chance more often.
 FEW = 16
 #: Family names that must bear a given name, and two together; how many times as often as by chance; and how seldom chance
 #: does so.
@@ -345,34 +345,46 @@ def short_forms(words: DataFrame) -> DataFrame:
 
     Of the two words the rarer is taken for the family name. Two given names are forms of one another if family names bear
     both at least TOGETHER times, LIFT times as often as independent names would, and so often by chance (of a Poisson
-    count) in less than CHANCE of cases. Spellings of one given name are learnt as well; they are no harm.
+    count) in less than CHANCE of cases. Chance is reckoned apart for family names of at most FEW given names, of at most
+    twice as many, and so on, and added up; the evidence of each size and all smaller ones may decide, so every family name
+    counts. Spellings of one given name are learnt as well; they are no harm.
+
+    As each of a family name's given names is borne by more family names than it has given names, their square is less than
+    twice the number of names: no family name makes more pairs than there are names.
     """
     two = words.filter((F.size("words") == 2) & (F.length(F.col("words")[0]) > 1) & (F.length(F.col("words")[1]) > 1)).select(F.sort_array("words").alias("w")).distinct()
     long = two.select(F.explode(F.array(F.struct(F.col("w")[0].alias("s"), F.col("w")[1].alias("g")), F.struct(F.col("w")[1].alias("s"), F.col("w")[0].alias("g")))).alias("x")).select("x.*")
     borne = long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     sides = long.join(borne, "g").join(borne.select(F.col("g").alias("s"), F.col("n").alias("m")), "s").filter((F.col("n") >= BORNE) & (F.col("m") < F.col("n"))).select("s", "g")
-    few = sides.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= FEW)
-    kept = written(sides.join(few.select("s"), "s", "left_semi"))
-    names_ = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    together = kept.select("s", F.col("g").alias("a")).join(kept.select("s", F.col("g").alias("b")), "s").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= TOGETHER)
-    total = kept.select("s").distinct().agg(F.count(F.lit(1)).alias("all"))
-    expected = together.join(names_.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(names_.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select("a", "b", "k", (F.col("na") * F.col("nb") / F.col("all")).alias("by_chance"))
+    sizes = sides.groupBy("s").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / FEW))).cast("int").alias("level"))
+    kept = written(sides.join(sizes, "s"))
+    names_ = written(kept.groupBy("g", "level").agg(F.count(F.lit(1)).alias("n")))
+    totals = kept.select("s", "level").distinct().groupBy("level").agg(F.count(F.lit(1)).alias("all"))
+    met = kept.select("s", "level", F.col("g").alias("a")).join(kept.select("s", F.col("g").alias("b")), "s").filter("a < b").groupBy("a", "b", "level").agg(F.count(F.lit(1)).alias("k"))
+    together = met.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("level", "k"))).alias("k"), F.sum("k").alias("sum")).filter(F.col("sum") >= TOGETHER)
+    by_level = together.join(names_.select(F.col("g").alias("a"), "level", F.col("n").alias("na")), "a").join(names_.select(F.col("g").alias("b"), "level", F.col("n").alias("nb")), ["b", "level"]).join(totals, "level")
+    evidence = F.struct("level", F.coalesce(F.try_element_at("k", "level"), F.lit(0)).alias("k"), (F.col("na") * F.col("nb") / F.col("all")).alias("by_chance"))
+    expected = by_level.groupBy("a", "b").agg(F.sort_array(F.collect_list(evidence)).alias("e")).select("a", "b", F.col("e.k").alias("k"), F.col("e.by_chance").alias("by_chance"))
 
     def seldom(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
-            for k, rate in zip(b["k"], b["by_chance"], strict=True):
-                term = less = math.exp(-rate)
-                for i in range(1, int(k)):
-                    term *= rate / i
-                    less += term
-                keep.append(k >= LIFT * rate and 1 - less < CHANCE)
-            yield b[keep][["a", "b"]]
+            yield b[[any(_beyond_chance(int(n), rate) for n, rate in zip(np.cumsum(k), np.cumsum(r), strict=True)) for k, r in zip(b["k"], b["by_chance"], strict=True)]][["a", "b"]]
 
     found = expected.mapInPandas(seldom, "a string, b string")
     return written(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
 
 
+def _beyond_chance(k: int, rate: float) -> bool:
+    """Whether ``k`` is more than LIFT times ``rate``, and a Poisson count so high in less than CHANCE of cases."""
+    if k < TOGETHER or k < LIFT * rate:
+        return False
+    term = less = math.exp(-rate)
+    for i in range(1, k):
+        term *= rate / i
+        less += term
+    return 1 - less < CHANCE
+
+
 def with_forms(names: DataFrame, forms: DataFrame) -> DataFrame:
     """Names (class, words) whose class says behind another tab which other forms (a, b) its words have."""
     of_word = forms.groupBy(F.col("a").alias("word")).agg(F.array_join(F.sort_array(F.collect_set("b")), ",").alias("others"))

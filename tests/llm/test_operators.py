@@ -285,6 +285,20 @@ def test_short_forms_are_learnt(spark):
     assert pairs == want
 
 
+def test_short_forms_of_family_names_with_many_given_names(spark):
+    rng = random.Random(17)
+    made = lambda n: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(n))
+    given = sorted({made(3) for _ in range(100)})
+    rows = []
+    for k in range(300):
+        family = made(6)
+        rows += [[g, family] for g in rng.sample(given, 20)] + ([["bob", family], ["robert", family]] if k < 30 else [])
+    few = [[g, family] for family in (made(6) for _ in range(60)) for g in rng.sample(given, 4)]
+    for own in (rows, rows + few):
+        d = spark.createDataFrame([(r,) for r in own], "words array<string>")
+        assert {(r.a, r.b) for r in names.short_forms(d).collect()} >= {("bob", "robert"), ("robert", "bob")}
+
+
 def test_vocabulary_is_not_broadcast(spark):
     words = written(spark.createDataFrame([(w,) for w in ("harbour", "harbor", "harbours", "smith", "smyth")], "word string"))
     links = names.word_links(words)
