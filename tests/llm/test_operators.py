@@ -299,6 +299,21 @@ def test_short_forms_of_family_names_with_many_given_names(spark):
         assert {(r.a, r.b) for r in names.short_forms(d).collect()} >= {("bob", "robert"), ("robert", "bob")}
 
 
+def test_names_of_families_with_many_given_names(spark):
+    rng = random.Random(18)
+    made = lambda n: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(n))
+    given = sorted({made(3) for _ in range(100)})
+    cells, want = [], set()
+    for k in range(300):
+        family = made(6)
+        cells += [f"{g} {family}".title() for g in rng.sample(given, 20)]
+        if k < 30:
+            cells += [f"{g} {family}".title() for g in ("bob", "robert")]
+            want.add((f"Bob {family.title()}", f"Robert {family.title()}"))
+    t = spark.createDataFrame([(c,) for c in cells], "artist string")
+    assert want <= {(r.name_a, r.name_b) for r in names.name_pairs(names.linked_names(t, ["artist"], [], {}, frozenset())).collect()}
+
+
 def test_vocabulary_is_not_broadcast(spark):
     words = written(spark.createDataFrame([(w,) for w in ("harbour", "harbor", "harbours", "smith", "smyth")], "word string"))
     links = names.word_links(words)
