@@ -7,10 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, written
+from ..skew import apart, union_all
 
 
 def _keyed(kind: str, key: Column) -> Column:
@@ -129,45 +131,162 @@ def near_signatures(rows: DataFrame, id_col: str, most: int = 11) -> DataFrame:
     return near.unionByName(same)
 
 
-#: Words of a track's print that are compared, those of the least hash; how many two prints must share; and the rows from
-#: which a word is frequent.
-SKETCH, SHARED, FREQUENT = 96, 2, 200
-
-
-def print_candidates(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: prints (rep, words) that share SHARED words of their sketches.
+#: Words of a track's print that are compared, those of the least hash, and the rows from which a word is frequent.
+SKETCH, FREQUENT = 96, 200
+#: Low bits of each word behind a shared one that are compared, and how many may differ of one, two and three words' bits.
+BEHIND_BITS, BEHIND = 20, (-1, 5, 10, 16)
+#: Words of sketches that are shuffled at once, and pairs that are matched at once: they bound the disk in use, not the rows.
+PASS_WORDS, PASS_PAIRS = 50_000_000, 2_000_000
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, none empty: a print has a thousand words and more."""
+    for b in batches:
+        yield from (b.slice(i, rows) for i in range(0, b.num_rows, rows))
+
+
+def packed(prints: DataFrame) -> DataFrame:
+    """The prints with their ``words`` as bytes: how many each word has (3, or 8 for long ones), then the words. Empty prints are left out."""
+    if dict(prints.dtypes)["words"] == "binary":
+        return prints
+    own = prints.filter(F.size("words") > 0)
+    at = own.columns.index("words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _cut_up(batches):
+            ends = b.column(at).offsets.to_numpy()
+            values = b.column(at).values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype("<i8")
+            ends = ends - ends[0]
+            raw = values.view(np.uint8).reshape(-1, 8)
+            short, full = np.ascontiguousarray(raw[:, :3]).tobytes(), raw.tobytes()
+            long = np.maximum.reduceat((values >> 24) != 0, ends[:-1])
+            words = [b"\x08" + full[8 * i : 8 * j] if x else b"\x03" + short[3 * i : 3 * j] for i, j, x in zip(ends[:-1], ends[1:], long, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()) if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    return own.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'words' else t}" for c, t in own.dtypes))
+
+
+def unpacked(words: bytes) -> np.ndarray:
+    raw = np.frombuffer(words, np.uint8, offset=1).reshape(-1, words[0])
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : words[0]] = raw
+    return out.view("<u8").ravel()
+
+
+def _sketched(rep: np.ndarray, place: np.ndarray, words: list[bytes], part: int, parts: int) -> list[np.ndarray]:
+    """(key, other, rep, v, behind) of the sketches' words that belong to a part: the word, the sketch's next one (-1 for
+    none), and the low bits of up to three words behind it in the print, above them how many."""
+    each = [unpacked(x) for x in words]
+    sizes = np.array([len(x) for x in each])
+    values, row = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+    start = np.concatenate([[0], np.cumsum(sizes)])
+    h = (values ^ (values >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    order = np.lexsort((h, row))
+    r, w = row[order], values[order]
+    own = np.ones(len(order), bool)
+    own[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+    order, r = order[own], r[own]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    order, r = order[rank < SKETCH], r[rank < SKETCH]
+    word = values[order].view(np.int64)
+    other = np.full(len(word), -1, np.int64)
+    other[:-1] = np.where(r[1:] == r[:-1], word[1:], -1)
+    mine = (h[order] >> np.uint64(20)) % np.uint64(parts) == part
+    order, r, word, other = order[mine], r[mine], word[mine], other[mine]
+    there = np.minimum(start[r + 1] - 1 - order, 3)
+    behind = there.astype(np.int64) << (3 * BEHIND_BITS)
+    for k in (1, 2, 3):
+        bits = (values[np.minimum(order + k, len(values) - 1)] & np.uint64((1 << BEHIND_BITS) - 1)).astype(np.int64)
+        behind |= np.where(there >= k, bits, 0) << ((k - 1) * BEHIND_BITS)
+    return [word, other, rep[r], place[r], behind]
+
+
+def _band(key: np.ndarray, rep: np.ndarray, v: np.ndarray, behind: np.ndarray, old: int, width: int) -> np.ndarray:
+    """Pairs of rows, sorted by key and v, with one key, v within ``width`` and like words behind; not those among the first ``old``."""
+    most, mask = np.array(BEHIND), np.array([(1 << (k * BEHIND_BITS)) - 1 for k in range(4)])
+    i, d, out = np.arange(len(key)), 0, []
+    while len(i):
+        d += 1
+        i = i[: np.searchsorted(i, len(key) - d)]
+        i = i[(key[i + d] == key[i]) & (v[i + d] - v[i] <= width)]
+        j = i + d
+        there = np.minimum(behind[i], behind[j]) >> (3 * BEHIND_BITS)
+        like = np.bitwise_count((behind[i] ^ behind[j]) & mask[there]) <= most[there]
+        like &= (j >= old) & (rep[i] != rep[j])
+        out.append(np.stack([np.minimum(rep[i], rep[j])[like], np.maximum(rep[i], rep[j])[like]], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def print_candidates(prints: DataFrame, width: int = 0, parts: int | None = None) -> DataFrame:
+    """(a, b), a < b: prints (rep, words, and v if only those with v within ``width`` are wanted) that share a word of their
+    sketches behind which they go on alike.
 
     A sketch is the SKETCH distinct words of the least hash, so it doesn't matter where in the track they stand. A word
-    that more than FREQUENT sketches hold counts only together with the next one of the sketch, and then as two. Of two
-    copies with two of 24 bits changed in each word an eighth of the words is equal; they share six sketch words on average,
-    and two at least in 98 of 100 cases. Unrelated prints share one by chance, hardly ever two.
+    that more than FREQUENT sketches hold counts only together with the next one of the sketch. Of two copies with two of 24
+    bits changed in each word an eighth of the words is equal; they share six sketch words on average, and one at least in
+    99 of 100 cases. Unrelated prints share one by chance, the more the larger the table; of the 60 bits behind it hardly
+    ever less than 17 differ then. A print's last word has none behind it and makes no candidates.
+
+    The words are shuffled in ``parts``, by default of PASS_WORDS each. In a part the rows of a word are sorted by v and each
+    is compared with those within ``width``, so no pairs are made beyond the band.
     """
-    hashes = F.slice(F.sort_array(F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w))), 1, SKETCH)
-    own = cut(prints.select("rep", F.posexplode(hashes).alias("p", "word")))
-    hot = own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT).select("word", F.lit(True).alias("hot"))
-    marked = own.join(hot, "word", "left")
-    single = marked.filter("hot is null").select("rep", F.col("word").alias("key"), F.lit(1).alias("m"))
-    after = own.select("rep", (F.col("p") - 1).alias("p"), F.col("word").alias("after"))
-    double = marked.filter("hot").select("rep", "p", "word").join(after, ["rep", "p"]).select("rep", F.xxhash64("word", "after").alias("key"), F.lit(2).alias("m"))
-    keys = cut(single.unionByName(double))
-    met = keys.select(F.col("rep").alias("a"), "key", "m").join(keys.select(F.col("rep").alias("b"), "key"), "key").filter("a < b")
-    return met.groupBy("a", "b").agg(F.sum("m").alias("m")).filter(F.col("m") >= SHARED).select("a", "b")
+    own = packed(prints if "v" in prints.columns else prints.withColumn("v", F.lit(0).cast("bigint"))).select("rep", F.col("v").cast("bigint").alias("v"), "words")
+    if parts is None:
+        parts = max(1, -(-own.count() * SKETCH // PASS_WORDS))
+
+    def sketch(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _cut_up(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _sketched(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), part, parts)], names=["key", "other", "rep", "v", "behind"])
+
+        return run
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            old = len(kept[0])
+            rows = [np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(kept)]
+            found = _band(*rows, old, width)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            if len(rows[0]):
+                open_ = (rows[0] == rows[0][-1]) & (rows[2] >= rows[2][-1] - width)
+                kept = [x[open_] for x in rows]
+
+    from pyspark.sql.window import Window
+
+    met = []
+    for part in range(parts):
+        words = own.mapInArrow(sketch(part), "key bigint, other bigint, rep bigint, v bigint, behind bigint").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+        hot = F.col("size") > FREQUENT
+        # rows of one word stay where they are, so the sort needs no shuffle
+        rows = words.filter((F.col("size") > 1) & ~(hot & (F.col("other") == -1))).select(F.when(hot, F.xxhash64("key", "other")).otherwise(F.col("key")).alias("key"), "rep", "v", "behind")
+        met.append(written(rows.sortWithinPartitions("key", "v").mapInArrow(band, "a bigint, b bigint").distinct(), free=True))
+    return written(union_all(met).distinct(), free=True) if parts > 1 else met[0]
 
 
 def print_matches(prints: DataFrame, candidates: DataFrame, most: float = 0.18) -> DataFrame:
     """(a, b, error): candidates whose bit error rate is at most ``most`` at some shift, with the rate at the nearest such;
-    too short ones never match."""
+    too short ones never match. Matched in parts of PASS_PAIRS, over the prints that have candidates."""
     from ..functions.dsp import first_match
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            errors = [first_match(np.asarray(x, dtype=np.uint64), np.asarray(y, dtype=np.uint64), most) for x, y in zip(b["x"], b["y"], strict=True)]
+            errors = [first_match(unpacked(x), unpacked(y), most) for x, y in zip(b["x"], b["y"], strict=True)]
             keep = [e is not None for e in errors]
             yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "error": [e for e, k in zip(errors, keep, strict=True) if k]})
 
-    x, y = (prints.select(F.col("rep").alias(s), F.col("words").alias(w)) for s, w in (("a", "x"), ("b", "y")))
-    # a print has a thousand words and more: small batches
-    return candidates.join(x, "a").join(y, "b").mapInPandas(run, "a bigint, b bigint, error double")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = written(packed(prints).select("rep", "words").join(apart(wanted), "rep"), free=True)
+    parts = max(1, -(-candidates.count() // PASS_PAIRS))
+    found = []
+    for part in range(parts):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == part  # noqa: B023, E731
+        x, y = (own.select(F.col("rep").alias(s), F.col("words").alias(w)) for s, w in (("a", "x"), ("b", "y")))
+        pairs = candidates.filter(mine("a")).join(apart(x.filter(mine("a"))), "a").join(apart(y), "b")
+        found.append(written(pairs.mapInPandas(run, "a bigint, b bigint, error double"), free=True))
+    return union_all(found)
 
 
 def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000, most: float = 0.18) -> DataFrame:
@@ -181,22 +300,32 @@ def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000,
     linked. Links are made between stretches, never between all tracks, so a class with a third of the rows has a few
     hundred of them.
     """
-    own = written(prints).filter(F.size("words") > 0).select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"))
-    reps = cut(own.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("words", "id").alias("words")))
-    near = print_matches(reps.select("rep", "words"), print_candidates(reps.select("rep", "words")), most).select("a", "b")
-    rows = own.select("id", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).join(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v")), "id").select("id", "rep", F.floor(F.col("v") / width).alias("place"), "v")
-    rows = cut(rows)
-    nodes = cut(rows.groupBy("rep", "place").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("id").alias("node"), F.count(F.lit(1)).alias("m")))
-    # stretches of like classes that are the same or next to each other, a class being like itself
-    alike = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(reps.filter(F.size("words") >= 80).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    one = nodes.select(F.col("rep").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("node").alias("x"), F.explode(F.sequence(F.col("place"), F.col("place") + 1)).alias("place"))
-    two = nodes.select(F.col("rep").alias("b"), "place", "lo", "hi", F.col("node").alias("y"))
-    edges = alike.join(one, "a").join(two, ["b", "place"]).filter((F.col("lo") - F.col("hi1") <= width) & (F.col("lo1") - F.col("hi") <= width) & (F.col("x") != F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    v = tracks.select("id", F.coalesce("duration_ms", F.lit(0)).cast("bigint").alias("v"))
+    size = F.expr("(length(words) - 1) / case when substring(words, 1, 1) = X'08' then 8 else 3 end").cast("int")
+    own = packed(prints.select("id", "words")).join(apart(v), "id")
+    own = written(own.select("id", "v", "words", size.alias("size"), F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.floor(F.col("v") / width).alias("place")), free=True)
+    stretch = ["h1", "h2", "place"]
+    nodes = written(own.groupBy(*stretch).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("id").alias("node"), F.count(F.lit(1)).alias("m"), F.max("size").alias("size")), free=True)
+    single = nodes.filter("m > 1").isEmpty()
+    heads = own if single else written(own.join(apart(nodes.select(F.col("node").alias("id"))), "id", "left_semi"), free=True)
+    heads = heads.select(F.col("id").alias("rep"), "v", "words")
+    # a stretch's least id may lie anywhere in it
+    near = print_matches(heads, print_candidates(heads, width if single else 3 * width), most).select("a", "b")
+    # stretches of like prints, and the next one of the same print
+    one = nodes.select(F.col("node").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    two = nodes.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    within = (F.col("lo2") - F.col("hi1") <= width) & (F.col("lo1") - F.col("hi2") <= width)
+    edges = near.join(apart(one), "a").join(apart(two), "b").filter(within).select("a", "b")
+    if not single:
+        nexts = nodes.select("h1", "h2", (F.col("place") - 1).alias("place"), F.col("node").alias("b"), F.col("lo").alias("lo2"))
+        edges = edges.unionByName(nodes.filter("size >= 80").join(apart(nexts), stretch).filter(F.col("lo2") - F.col("hi") <= width).select(F.col("node").alias("a"), "b"))
     groups = components(edges)
-    long_enough = reps.filter(F.size("words") >= 80).select("rep")
-    alone = nodes.filter("m >= 2").join(long_enough, "rep", "left_semi").join(groups.select(F.col("id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
-    by_node = groups.select(F.col("id").alias("node"), "component").unionByName(alone)
-    found = cut(rows.join(nodes.select("rep", "place", "node"), ["rep", "place"]).join(by_node, "node").select("id", "component"))
+    alone = nodes.filter("m >= 2 and size >= 80").join(groups.select(F.col("id").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
+    by_node = written(groups.select(F.col("id").alias("node"), "component").unionByName(alone), free=True)
+    if single:
+        found = by_node.select(F.col("node").alias("id"), "component")
+    else:
+        found = written(own.select("id", *stretch).join(apart(nodes.select(*stretch, "node")), stretch).join(apart(by_node), "node").select("id", "component"), free=True)
     artist, title = F.lower(F.trim("artist")), F.lower(F.trim("title"))
     tagged = tracks.select("id", F.when(F.trim("fingerprint") != "", F.col("fingerprint")).alias("fp"), F.when((artist != "") & (title != ""), F.concat(artist, F.lit("\x1f"), title)).alias("k"))
     g = found.join(tagged, "id").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), *[f(c).alias(m + c) for c in ("fp", "k") for m, f in (("n_", F.count), ("low_", F.min), ("high_", F.max))])

@@ -157,6 +157,24 @@ def test_print_candidates_against_brute_force(spark):
     assert duplicates.print_candidates(d.limit(0)).count() == 0
 
 
+def test_print_candidates_do_not_meet_by_chance(spark):
+    rng = np.random.default_rng(6)
+    # a table so large that any two sketches share words: here words of a small vocabulary
+    some = rng.integers(0, 1 << 24, 4000)
+    prints = [(i, rng.choice(some, 120)) for i in range(300)]
+    prints += [(1000 + i, np.where(np.arange(120) % 3 == 0, w ^ (1 << int(rng.integers(24))), w)) for i, w in prints[:50]]
+    d = spark.createDataFrame([(int(i), [int(x) for x in w]) for i, w in prints], "rep bigint, words array<bigint>")
+    found = {(r.a, r.b) for r in duplicates.print_candidates(d).collect()}
+    copies = {(i, 1000 + i) for i in range(50)}
+    assert copies <= found and len(found) < 500
+    assert {(r.a, r.b) for r in duplicates.print_matches(d, duplicates.print_candidates(d)).collect()} == copies
+    # any number of parts gives the same pairs; a limit to v leaves those within it
+    assert {(r.a, r.b) for r in duplicates.print_candidates(d, parts=7).collect()} == found
+    near = d.withColumn("v", F.pmod(F.col("rep"), F.lit(1000)) * 10 + F.when(F.col("rep") >= 1025, 6).otherwise(5))
+    assert {(r.a, r.b) for r in duplicates.print_candidates(near, 5).collect()} & copies == copies
+    assert {(r.a, r.b) for r in duplicates.print_candidates(near, 0).collect()} == {(i, 1000 + i) for i in range(25)}
+
+
 def test_grid_edits(spark):
     g = spark.createDataFrame([(1, 120.0, 100.0, 0)], "track_id bigint, bpm double, first double, phase int")
     b, f, p = F.col("bpm"), F.col("first"), F.col("phase")
