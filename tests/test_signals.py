@@ -175,6 +175,29 @@ def test_print_candidates_do_not_meet_by_chance(spark):
     assert {(r.a, r.b) for r in duplicates.print_candidates(near, 0).collect()} == {(i, 1000 + i) for i in range(25)}
 
 
+def test_acoustic_classes_with_equal_and_long_prints(spark):
+    rng = np.random.default_rng(7)
+    made = [rng.integers(0, 1 << 24, 120) for _ in range(8)] + [rng.integers(0, 1 << 60, 120), rng.integers(0, 1 << 24, 79)]
+    rows = [(k, int(rng.integers(100_000, 190_000)), [int(x) ^ (int(k % 7 == 0 and j % 2) << (j % 24)) for j, x in enumerate(made[k % 10])]) for k in range(400)]
+    t = spark.createDataFrame([(k, v, None, None, None) for k, v, _ in rows], "id bigint, duration_ms bigint, fingerprint string, artist string, title string")
+    p = spark.createDataFrame([(k, w) for k, _, w in rows] + [(5000, rows[0][2]), (0 - 1, [])], "id bigint, words array<bigint>")
+    root = {k: k for k, _, _ in rows}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, va, wa in rows:
+        for b, vb, _ in rows:
+            if a < b and a % 10 == b % 10 and len(wa) >= 80 and abs(va - vb) <= 15_000:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    tops = [top(k) for k in root]
+    want = {(k, top(k), tops.count(top(k))) for k in root if tops.count(top(k)) > 1}
+    assert {tuple(r) for r in duplicates.acoustic_classes(t, p).collect()} == want
+
+
 def test_grid_edits(spark):
     g = spark.createDataFrame([(1, 120.0, 100.0, 0)], "track_id bigint, bpm double, first double, phase int")
     b, f, p = F.col("bpm"), F.col("first"), F.col("phase")
