@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, written
-from ..skew import apart, union_all
+from ..session import cut, removed, written
+from ..skew import apart
 
 
 def _keyed(kind: str, key: Column) -> Column:
@@ -135,8 +135,9 @@ def near_signatures(rows: DataFrame, id_col: str, most: int = 11) -> DataFrame:
 SKETCH, FREQUENT = 96, 200
 #: Low bits of each word behind a shared one that are compared, and how many may differ of one, two and three words' bits.
 BEHIND_BITS, BEHIND = 20, (-1, 5, 10, 16)
-#: Words of sketches that are shuffled at once, and pairs that are matched at once: they bound the disk in use, not the rows.
-PASS_WORDS, PASS_PAIRS = 50_000_000, 2_000_000
+#: Parts that sketches are shuffled in at most, so that a part's disk stays below that of the prints, and words of a part at
+#: least; pairs that are matched at once; parts that prints are picked in, of so many rows at least. None changes the rows.
+PARTS, PASS_WORDS, PASS_PAIRS, PICKS, PICK_ROWS = 16, 5_000_000, 2_000_000, 8, 100_000
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -176,14 +177,18 @@ def unpacked(words: bytes) -> np.ndarray:
 def _sketched(rep: np.ndarray, place: np.ndarray, words: list[bytes], part: int, parts: int) -> list[np.ndarray]:
     """(key, other, rep, v, behind) of the sketches' words that belong to a part: the word, the sketch's next one (-1 for
     none), and the low bits of up to three words behind it in the print, above them how many."""
-    each = [unpacked(x) for x in words]
-    sizes = np.array([len(x) for x in each])
-    values, row = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+    each = [unpacked(b"".join([words[0], *(x[1:] for x in words[1:])]))] if len({(x[0], len(x)) for x in words}) == 1 else [unpacked(x) for x in words]
+    values = np.concatenate(each)
+    sizes = np.array([(len(x) - 1) // x[0] for x in words])
+    row = np.repeat(np.arange(len(words)), sizes)
     start = np.concatenate([[0], np.cumsum(sizes)])
     h = (values ^ (values >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    order = np.lexsort((h, row))
+    if sizes.min() == sizes.max():
+        order = (np.argsort(h.reshape(len(words), -1), axis=1, kind="stable") + start[:-1, None]).ravel()
+    else:
+        order = np.lexsort((h, row))
     r, w = row[order], values[order]
     own = np.ones(len(order), bool)
     own[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
@@ -229,12 +234,12 @@ def print_candidates(prints: DataFrame, width: int = 0, parts: int | None = None
     99 of 100 cases. Unrelated prints share one by chance, the more the larger the table; of the 60 bits behind it hardly
     ever less than 17 differ then. A print's last word has none behind it and makes no candidates.
 
-    The words are shuffled in ``parts``, by default of PASS_WORDS each. In a part the rows of a word are sorted by v and each
-    is compared with those within ``width``, so no pairs are made beyond the band.
+    The words are shuffled in ``parts``, by default PARTS unless they are few. In a part the rows of a word are sorted by v
+    and each is compared with those within ``width``, so no pairs are made beyond the band.
     """
     own = packed(prints if "v" in prints.columns else prints.withColumn("v", F.lit(0).cast("bigint"))).select("rep", F.col("v").cast("bigint").alias("v"), "words")
     if parts is None:
-        parts = max(1, -(-own.count() * SKETCH // PASS_WORDS))
+        parts = min(PARTS, max(1, -(-own.count() * SKETCH // PASS_WORDS)))
 
     def sketch(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,19 +261,33 @@ def print_candidates(prints: DataFrame, width: int = 0, parts: int | None = None
 
     from pyspark.sql.window import Window
 
-    met = []
+    met = None
     for part in range(parts):
         words = own.mapInArrow(sketch(part), "key bigint, other bigint, rep bigint, v bigint, behind bigint").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key")))
         hot = F.col("size") > FREQUENT
         # rows of one word stay where they are, so the sort needs no shuffle
         rows = words.filter((F.col("size") > 1) & ~(hot & (F.col("other") == -1))).select(F.when(hot, F.xxhash64("key", "other")).otherwise(F.col("key")).alias("key"), "rep", "v", "behind")
-        met.append(written(rows.sortWithinPartitions("key", "v").mapInArrow(band, "a bigint, b bigint").distinct(), free=True))
-    return written(union_all(met).distinct(), free=True) if parts > 1 else met[0]
+        met = written(rows.sortWithinPartitions("key", "v").mapInArrow(band, "a bigint, b bigint").distinct(), free=True, onto=met)
+    if parts == 1:
+        return met
+    each = written(met.distinct(), free=True)
+    removed(met)
+    return each
+
+
+def picked(prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """The prints (rep, words) of ``reps`` (rep), as a table of their own; shuffled in parts, so few of them at once."""
+    parts = min(PICKS, max(1, prints.count() // PICK_ROWS))
+    mine = lambda part: F.pmod(F.xxhash64("rep"), F.lit(parts)) == part
+    out = None
+    for part in range(parts):
+        out = written(prints.filter(mine(part)).join(apart(reps.filter(mine(part))), "rep", "left_semi"), free=True, onto=out)
+    return out
 
 
 def print_matches(prints: DataFrame, candidates: DataFrame, most: float = 0.18) -> DataFrame:
     """(a, b, error): candidates whose bit error rate is at most ``most`` at some shift, with the rate at the nearest such;
-    too short ones never match. Matched in parts of PASS_PAIRS, over the prints that have candidates."""
+    too short ones never match. Matched in parts of PASS_PAIRS; each shuffles the prints, so give those with candidates."""
     from ..functions.dsp import first_match
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,40 +296,48 @@ def print_matches(prints: DataFrame, candidates: DataFrame, most: float = 0.18)
             keep = [e is not None for e in errors]
             yield pd.DataFrame({"a": b["a"][keep], "b": b["b"][keep], "error": [e for e, k in zip(errors, keep, strict=True) if k]})
 
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = written(packed(prints).select("rep", "words").join(apart(wanted), "rep"), free=True)
+    own = packed(prints)
     parts = max(1, -(-candidates.count() // PASS_PAIRS))
-    found = []
+    found = None
     for part in range(parts):
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)) == part  # noqa: B023, E731
         x, y = (own.select(F.col("rep").alias(s), F.col("words").alias(w)) for s, w in (("a", "x"), ("b", "y")))
         pairs = candidates.filter(mine("a")).join(apart(x.filter(mine("a"))), "a").join(apart(y), "b")
-        found.append(written(pairs.mapInPandas(run, "a bigint, b bigint, error double"), free=True))
-    return union_all(found)
+        found = written(pairs.mapInPandas(run, "a bigint, b bigint, error double"), free=True, onto=found)
+    return found
 
 
 def acoustic_classes(tracks: DataFrame, prints: DataFrame, width: int = 15_000, most: float = 0.18) -> DataFrame:
     """(id, component, n): the tracks of each acoustic group, by its smallest id.
 
-    tracks: (id, duration_ms, fingerprint, artist, title); prints: (id, words). Two tracks are linked if their prints match
-    and their durations lie within ``width`` (a null one is 0); groups are the components of the links. Groups of one file
+    tracks: (id, duration_ms, fingerprint, artist, title); prints: (id, words), with the duration as v if it needn't be joined
+    to them, for that shuffles them all. Two tracks are linked if their prints match and their durations lie within ``width`` (a null one is 0); groups are the components of the links. Groups of one file
     (one fingerprint, all non-empty) or of one artist and title are the other kinds' and left out.
 
     Equal prints are one class, and a class's tracks are cut by duration into stretches of ``width``, in which all are
     linked. Links are made between stretches, never between all tracks, so a class with a third of the rows has a few
     hundred of them.
     """
-    v = tracks.select("id", F.coalesce("duration_ms", F.lit(0)).cast("bigint").alias("v"))
     size = F.expr("(length(words) - 1) / case when substring(words, 1, 1) = X'08' then 8 else 3 end").cast("int")
-    own = packed(prints.select("id", "words")).join(apart(v), "id")
-    own = written(own.select("id", "v", "words", size.alias("size"), F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.floor(F.col("v") / width).alias("place")), free=True)
+    own = packed(prints)
+    if "v" not in prints.columns:
+        own = own.join(apart(tracks.select("id", F.coalesce("duration_ms", F.lit(0)).cast("bigint").alias("v"))), "id")
+    # prints are the most of the disk: there is one copy of them, and only until those with candidates are picked
+    heads = written(own.select(F.col("id").alias("rep"), "v", "words"), free=True)
+    own = written(heads.select(F.col("rep").alias("id"), "v", size.alias("size"), F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2"), F.floor(F.col("v") / width).alias("place")))
     stretch = ["h1", "h2", "place"]
     nodes = written(own.groupBy(*stretch).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min("id").alias("node"), F.count(F.lit(1)).alias("m"), F.max("size").alias("size")), free=True)
     single = nodes.filter("m > 1").isEmpty()
-    heads = own if single else written(own.join(apart(nodes.select(F.col("node").alias("id"))), "id", "left_semi"), free=True)
-    heads = heads.select(F.col("id").alias("rep"), "v", "words")
+    if not single:
+        every, heads = heads, picked(heads, nodes.select(F.col("node").alias("rep")))
+        removed(every)
     # a stretch's least id may lie anywhere in it
-    near = print_matches(heads, print_candidates(heads, width if single else 3 * width), most).select("a", "b")
+    met = print_candidates(heads, width if single else 3 * width)
+    reps = written(met.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), free=True)
+    with_others = picked(heads.select("rep", "words"), reps)
+    removed(heads)
+    near = print_matches(with_others, met, most).select("a", "b")
+    removed(with_others, met, reps)
     # stretches of like prints, and the next one of the same print
     one = nodes.select(F.col("node").alias("a"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     two = nodes.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))

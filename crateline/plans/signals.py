@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..operators import catalog, duplicates, series
-from ..session import table
+from ..session import table, written
+from ..skew import union_all
 from .queries import HOURS, IDENTICAL, SAME, T, hourly, tracks
 from .registry import query
 
@@ -15,14 +20,28 @@ WORDS = 120
 
 
 def made_prints(s, d):
-    """Prints for the tracks, which have none: copies of one title differ in a bit or two of each word."""
-    t = catalog.latest(tracks(s, d), "title").filter(F.trim("title") != "")
-    number = lambda hexed: F.conv(hexed, 16, 10).cast("int")
-    word = lambda i: number(F.substring(F.md5(F.concat(F.lower(F.trim("title")), F.lit("/"), i.cast("string"))), 1, 6))
-    bit = lambda i: F.pmod(number(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), i.cast("string"))), 1, 4)), F.lit(24))
-    words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.when(i % 2 == 0, word(i)).otherwise(word(i).bitwiseXOR(F.call_function("shiftleft", F.lit(1), bit(i)))))
-    # a few bytes of each track make thousands, so small tasks
-    return t.repartition(2 * s.sparkContext.defaultParallelism, F.xxhash64("id")).select("id", words.alias("words"))
+    """Prints for the tracks, which have none: copies of one title differ in a bit or two of each word.
+
+    (id, v, words), packed, v the duration. A word is the first three bytes of a digest of the title and its number, a bit
+    the first two of one of the id and the number.
+    """
+    t = catalog.latest(tracks(s, d), "title", "duration_ms").filter(F.trim("title") != "")
+    own = t.select("id", F.coalesce("duration_ms", F.lit(0)).cast("bigint").alias("v"), F.lower(F.trim("title")).alias("title"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [b"/%d" % i for i in range(WORDS)]
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                ids, v, titles = b.slice(at, 1000).columns
+                digests = b"".join([md5(w + e).digest()[:3] for w in (x.encode() for x in titles.to_pylist()) for e in ends])
+                of_ids = b"".join([md5(k + e).digest()[:2] for k in (b"%d" % x for x in ids.to_pylist()) for e in ends[1::2]])
+                words = np.frombuffer(digests, np.uint8).reshape(-1, WORDS, 3).astype(np.uint32) @ np.array([1 << 16, 1 << 8, 1], np.uint32)
+                words[:, 1::2] ^= np.uint32(1) << np.frombuffer(of_ids, ">u2").reshape(-1, WORDS // 2).astype(np.uint32) % 24
+                raw = np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, WORDS, 4)[:, :, :3]).tobytes()
+                yield pa.RecordBatch.from_arrays([ids, v, pa.array([b"\x03" + raw[k : k + 3 * WORDS] for k in range(0, len(raw), 3 * WORDS)], pa.binary())], names=["id", "v", "words"])
+
+    # a few bytes of each track make hundreds, so small tasks
+    return own.repartition(2 * s.sparkContext.defaultParallelism, F.xxhash64("id")).mapInArrow(run, "id bigint, v bigint, words binary")
 
 
 @query(f"""WITH RECURSIVE {T}, v AS (SELECT id, lower(trim(title)) AS w, coalesce(duration_ms, 0) AS d FROM t WHERE trim(title) <> ''), l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.w = b.w AND a.id <> b.id AND abs(a.d - b.d) <= 15000),
@@ -133,4 +152,5 @@ def duplicate_groups(s, d):
     """Groups of all three kinds; an acoustic group is named by its smallest id, its members are in acoustic_classes."""
     t = catalog.latest(tracks(s, d), "duration_ms", "fingerprint", "artist", "title")
     classes = duplicates.acoustic_classes(t, made_prints(s, d)).select(F.lit("acoustic").alias("kind"), F.concat(F.lit("acoustic\x1f"), F.col("component").cast("string")).alias("group_key"), "n", F.col("component").alias("first_id")).distinct()
-    return classes.unionByName(duplicates.identical_groups(t)).unionByName(duplicates.same_track_groups(t))
+    # each kind shuffles all tracks, so one after the other
+    return union_all([written(g, free=True) for g in (classes, duplicates.identical_groups(t), duplicates.same_track_groups(t))])

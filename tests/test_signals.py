@@ -1,9 +1,14 @@
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from crateline.functions import dsp
-from crateline.operators import duplicates, series
+from crateline.operators import catalog, duplicates, series
+from crateline.plans.signals import made_prints
+from crateline.session import shared_folder, table
 
 RATE = 44100
 
@@ -198,6 +203,48 @@ def test_acoustic_classes_with_equal_and_long_prints(spark):
     assert {tuple(r) for r in duplicates.acoustic_classes(t, p).collect()} == want
 
 
+def test_acoustic_classes_keep_no_prints(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    made = [rng.integers(0, 1 << 24, 120) for _ in range(100)]
+    rows = [(k, 100_000 + 10 * k, [int(x) ^ (1 << int(rng.integers(24))) if j % 2 else int(x) for j, x in enumerate(made[k % 100])]) for k in range(300)]
+    t = spark.createDataFrame([(k, v, None, None, None) for k, v, _ in rows], "id bigint, duration_ms bigint, fingerprint string, artist string, title string")
+    p = spark.createDataFrame([(k, w) for k, _, w in rows], "id bigint, words array<bigint>")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    tables = lambda: {x for x in folder.glob("table-*") if any("words" in pq.read_schema(f).names for f in x.glob("*.parquet"))}
+    before = tables()
+    whole = {tuple(r) for r in duplicates.acoustic_classes(t, p).collect()}
+    assert whole == {(k, k % 100, 3) for k in range(300)} and tables() == before
+    # the duration given, and everything in small parts
+    for name, most in (("PASS_WORDS", 3000), ("PASS_PAIRS", 70), ("PICK_ROWS", 50)):
+        monkeypatch.setattr(duplicates, name, most)
+    given = p.join(t.select("id", F.col("duration_ms").alias("v")), "id")
+    assert {tuple(r) for r in duplicates.acoustic_classes(t, given).collect()} == whole and tables() == before
+
+
+def test_sketches_of_one_length_as_of_several():
+    rng = np.random.default_rng(9)
+    words = [b"\x03" + rng.integers(0, 40, (120, 3), np.uint8).tobytes() for _ in range(6)] + [b"\x03" + bytes(3) * 7]
+    rep = np.arange(7)
+    for part in range(3):
+        one, several = duplicates._sketched(rep[:6], rep[:6], words[:6], part, 3), duplicates._sketched(rep, rep, words, part, 3)
+        own = several[2] < 6
+        assert len(one[0]) and all(np.array_equal(x, y[own]) for x, y in zip(one, several, strict=True))
+
+
+def test_made_prints(spark, data):
+    made = made_prints(spark, data)
+    number = lambda hexed: F.conv(hexed, 16, 10).cast("int")
+    word = lambda i: number(F.substring(F.md5(F.concat(F.lower(F.trim("title")), F.lit("/"), i.cast("string"))), 1, 6))
+    bit = lambda i: F.pmod(number(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), i.cast("string"))), 1, 4)), F.lit(24))
+    words = F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: F.when(i % 2 == 0, word(i)).otherwise(word(i).bitwiseXOR(F.call_function("shiftleft", F.lit(1), bit(i)))))
+    t = catalog.latest(table(spark, data, "tracks"), "title", "duration_ms").filter(F.trim("title") != "")
+    want = {r.id: (r.v, list(r.words)) for r in t.select("id", F.coalesce("duration_ms", F.lit(0)).alias("v"), words.alias("words")).collect()}
+    assert {r.id: (r.v, duplicates.unpacked(bytes(r.words)).tolist()) for r in made.collect()} == want and want
+    # titles are shuffled, never words
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
 def test_grid_edits(spark):
     g = spark.createDataFrame([(1, 120.0, 100.0, 0)], "track_id bigint, bpm double, first double, phase int")
     b, f, p = F.col("bpm"), F.col("first"), F.col("phase")
