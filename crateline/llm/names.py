@@ -343,19 +343,14 @@ BORNE, TOGETHER, LIFT, CHANCE = 3, 2, 4.0, 0.01
 def short_forms(words: DataFrame) -> DataFrame:
     """(a, b), both ways: given names that are forms of one another, learnt from names (words) of two words.
 
-    Of the two words the rarer is taken for the family name. Two given names are forms of one another if family names bear
+    Which of the two words is the given name is told by :func:`sides_of`. Two given names are forms of one another if family names bear
     both at least TOGETHER times, LIFT times as often as independent names would, and so often by chance (of a Poisson
     count) in less than CHANCE of cases. Chance is reckoned apart for family names of at most FEW given names, of at most
     twice as many, and so on, and added up; the evidence of each size and all smaller ones may decide, so every family name
     counts. Spellings of one given name are learnt as well; they are no harm.
-
-    As each of a family name's given names is borne by more family names than it has given names, their square is less than
-    twice the number of names: no family name makes more pairs than there are names.
     """
     two = words.filter((F.size("words") == 2) & (F.length(F.col("words")[0]) > 1) & (F.length(F.col("words")[1]) > 1)).select(F.sort_array("words").alias("w")).distinct()
-    long = two.select(F.explode(F.array(F.struct(F.col("w")[0].alias("s"), F.col("w")[1].alias("g")), F.struct(F.col("w")[1].alias("s"), F.col("w")[0].alias("g")))).alias("x")).select("x.*")
-    borne = long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sides = long.join(borne, "g").join(borne.select(F.col("g").alias("s"), F.col("n").alias("m")), "s").filter((F.col("n") >= BORNE) & (F.col("m") < F.col("n"))).select("s", "g")
+    sides = sides_of(two).filter(F.col("n") >= BORNE).select("s", "g")
     sizes = sides.groupBy("s").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / FEW))).cast("int").alias("level"))
     kept = written(sides.join(sizes, "s"))
     names_ = written(kept.groupBy("g", "level").agg(F.count(F.lit(1)).alias("n")))
@@ -374,6 +369,23 @@ def short_forms(words: DataFrame) -> DataFrame:
     return written(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))))
 
 
+def sides_of(two: DataFrame) -> DataFrame:
+    """(s, g, n): family and given name of each name of two words (w), and how many family names bear the given one.
+
+    Given names are borne by more others than family names are. A name alone may tell it wrongly, for a family name with
+    many given names has some that are rarer than it. So a word's side is told from all its names: the share in which it is
+    the more frequent word, less the mean of that share over the words that it stands with. What is equal in both and as
+    frequent is read both ways, so every name counts.
+    """
+    long = two.select(F.explode(F.array(F.struct(F.col("w")[0].alias("s"), F.col("w")[1].alias("g")), F.struct(F.col("w")[1].alias("s"), F.col("w")[0].alias("g")))).alias("x")).select("x.*")
+    borne = long.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    both = written(long.join(apart(borne), "g").join(apart(borne.select(F.col("g").alias("s"), F.col("n").alias("m"))), "s"))
+    more = both.groupBy("g").agg(F.avg(F.when(F.col("n") > F.col("m"), 1.0).when(F.col("n") == F.col("m"), 0.5).otherwise(0.0)).alias("more"), F.first("n").alias("n"))
+    near = both.join(apart(more.select(F.col("g").alias("s"), F.col("more").alias("others"))), "s").groupBy("g").agg(F.avg("others").alias("others"))
+    side = written(more.join(apart(near), "g").select("g", "n", F.struct(F.round(F.col("more") - F.col("others"), 6), "n").alias("side")))
+    return long.join(apart(side), "g").join(apart(side.select(F.col("g").alias("s"), F.col("side").alias("other"))), "s").filter("side >= other").select("s", "g", "n")
+
+
 def _beyond_chance(k: int, rate: float) -> bool:
     """Whether ``k`` is more than LIFT times ``rate``, and a Poisson count so high in less than CHANCE of cases."""
     if k < TOGETHER or k < LIFT * rate:

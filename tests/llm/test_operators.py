@@ -314,6 +314,26 @@ def test_names_of_families_with_many_given_names(spark):
     assert want <= {(r.name_a, r.name_b) for r in names.name_pairs(names.linked_names(t, ["artist"], [], {}, frozenset())).collect()}
 
 
+def test_names_of_families_with_more_given_names_than_these_have_families(spark):
+    rng = random.Random(19)
+    made = lambda n: "".join(rng.choice("bdfgklmnprtvz") + rng.choice("aeiou") for _ in range(n))
+    given = sorted({made(3) for _ in range(100)})
+    rows = [[g, family] for family in (made(6) for _ in range(300)) for g in rng.sample(given, 20)]
+    # bob and robert have fewer family names than each of these has given names
+    large = [made(6) for _ in range(20)]
+    rows += [[g, family] for family in large for g in [*rng.sample(given, 40), "bob", "robert"]]
+    rows += [[g, family] for family in (made(6) for _ in range(90)) for g in rng.sample(given, 40)]
+    d = spark.createDataFrame([(r,) for r in rows], "words array<string>")
+    assert {(r.a, r.b) for r in names.short_forms(d).collect()} == {("bob", "robert"), ("robert", "bob")}
+    t = spark.createDataFrame([(" ".join(r).title(),) for r in rows], "artist string")
+    pairs = {(r.name_a, r.name_b) for r in names.name_pairs(names.linked_names(t, ["artist"], [], {}, frozenset())).collect()}
+    assert {(f"Bob {f.title()}", f"Robert {f.title()}") for f in large} <= pairs
+    # words that are alike in all are read both ways, none is left out
+    ties = spark.createDataFrame([(["anna", "smith"],), (["smith", "anna"],), (["bert", "jones"],)], "words array<string>")
+    read = names.sides_of(ties.select(F.sort_array("words").alias("w")).distinct())
+    assert {(r.s, r.g) for r in read.collect()} == {("anna", "smith"), ("smith", "anna"), ("bert", "jones"), ("jones", "bert")}
+
+
 def test_vocabulary_is_not_broadcast(spark):
     words = written(spark.createDataFrame([(w,) for w in ("harbour", "harbor", "harbours", "smith", "smyth")], "word string"))
     links = names.word_links(words)
