@@ -137,7 +137,7 @@ SKETCH, FREQUENT = 96, 200
 BEHIND_BITS, BEHIND = 20, (-1, 5, 10, 16)
 #: Parts that sketches are shuffled in at most, so that a part's disk stays below that of the prints, and words of a part at
 #: least; pairs that are matched at once; parts that prints are picked in, of so many rows at least. None changes the rows.
-PARTS, PASS_WORDS, PASS_PAIRS, PICKS, PICK_ROWS = 16, 5_000_000, 2_000_000, 8, 100_000
+PARTS, PASS_WORDS, PASS_PAIRS, PICKS, PICK_ROWS = 16, 5_000_000, 500_000, 8, 100_000
 
 
 def _cut_up(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -267,12 +267,14 @@ def print_candidates(prints: DataFrame, width: int = 0, parts: int | None = None
         hot = F.col("size") > FREQUENT
         # rows of one word stay where they are, so the sort needs no shuffle
         rows = words.filter((F.col("size") > 1) & ~(hot & (F.col("other") == -1))).select(F.when(hot, F.xxhash64("key", "other")).otherwise(F.col("key")).alias("key"), "rep", "v", "behind")
-        met = written(rows.sortWithinPartitions("key", "v").mapInArrow(band, "a bigint, b bigint").distinct(), free=True, onto=met)
-    if parts == 1:
-        return met
-    each = written(met.distinct(), free=True)
-    removed(met)
-    return each
+        new = written(rows.sortWithinPartitions("key", "v").mapInArrow(band, "a bigint, b bigint").distinct(), free=True)
+        if met is None:
+            met = new
+            continue
+        # copies meet in every part, so pairs are kept once
+        last, met = met, written(met.unionByName(new).distinct(), free=True)
+        removed(last, new)
+    return met
 
 
 def picked(prints: DataFrame, reps: DataFrame) -> DataFrame:
